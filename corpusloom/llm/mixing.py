@@ -55,7 +55,7 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], max_passes: int =
 
 
 def _split(node: DataFrame, seed: str) -> DataFrame:
-    """Both children of each node (path, lo, hi, quotas): how many of each source's draws go left.
+    """Both children of each node (path, lo, hi, quotas, ords): how many of each source's draws go left.
 
     The left side gets its share of all draws, rounded by a keyed coin. Going through the draws one by one, each
     goes left with probability left places / left draws: that is the multivariate hypergeometric law, exactly.
@@ -79,10 +79,10 @@ def _split(node: DataFrame, seed: str) -> DataFrame:
     indexed = F.transform("quotas", lambda q, i: F.struct(i.alias("i"), q.alias("quota")))
     done = node.withColumn("total", total).withColumn("left", F.aggregate(indexed, start, through)["out"]).withColumn("mid", mid)
     two = F.array(
-        F.struct(F.concat("path", F.lit("0")).alias("path"), F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("left").alias("quotas")),
-        F.struct(F.concat("path", F.lit("1")).alias("path"), F.col("mid").alias("lo"), F.col("hi").alias("hi"), F.zip_with("quotas", "left", lambda a, b: a - b).alias("quotas")),
+        F.struct(F.concat("path", F.lit("0")).alias("path"), F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("left").alias("quotas"), F.col("ords").alias("ords")),
+        F.struct(F.concat("path", F.lit("1")).alias("path"), F.col("mid").alias("lo"), F.col("hi").alias("hi"), F.zip_with("quotas", "left", lambda a, b: a - b).alias("quotas"), F.col("ords").alias("ords")),
     )
-    return done.select(F.explode(F.when(F.col("hi") - F.col("lo") > 1, two).otherwise(F.array(F.struct("path", "lo", "hi", "quotas")))).alias("c")).select("c.*")
+    return done.select(F.explode(F.when(F.col("hi") - F.col("lo") > 1, two).otherwise(F.array(F.struct("path", "lo", "hi", "quotas", "ords")))).alias("c")).select("c.*")
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, seed: str = "mix-1", block_docs: int = 32, max_blocks: int = 4096, max_passes: int = MAX_PASSES) -> DataFrame:
@@ -122,11 +122,9 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int =
     # the tree: one row per node, one number per source in each
     quotas = draws.groupBy("ord").agg(F.count("*").alias("quota"))
     node = quotas.agg(F.array_sort(F.collect_list(F.struct("ord", "quota"))).alias("q")).select(F.lit("").alias("path"), F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.col("q.quota").alias("quotas"), F.col("q.ord").alias("ords"))
-    ords = save(node.select("ords"), "mix-ords")
-    node = node.drop("ords")
     for _ in range(max(0, shards - 1).bit_length()):
         node = save(_split(node, seed), "mix-tree")
-    leaves = node.join(ords).select("lo", F.explode(F.arrays_zip("ords", "quotas")).alias("x")).select(F.col("lo").alias("shard"), F.col("x.ords").alias("ord"), F.col("x.quotas").alias("quota"))
+    leaves = node.select("lo", F.explode(F.arrays_zip("ords", "quotas")).alias("x")).select(F.col("lo").alias("shard"), F.col("x.ords").alias("ord"), F.col("x.quotas").alias("quota"))
     upto = F.sum("quota").over(Window.partitionBy("ord").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
     ends = leaves.withColumn("end", upto).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
     # the first shard whose run ends at or after a draw's place takes it
