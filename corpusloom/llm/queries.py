@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, langid, licences, mixing, packing, pii, quality, token_count, topk
+from . import jaccard, langid, licences, mixing, packing, pii, quality, suffixes, token_count, topk
 
 #: Where the public vocabularies are; a parameter of the operators.
 WORD_VOCABULARY, BYTE_VOCABULARY = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op7_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op8_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"), 400, digest=True)
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, 5)
 
@@ -65,7 +69,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_licence_scan, op4_mix_sources, op5_token_counts, op6_pseudonyms, op7_language_spans, op9_exact_top_k, op10_jaccard_join)
+    f.__name__: f for f in (op1_quality_rules, op2_best_fit_packing, op3_licence_scan, op4_mix_sources, op5_token_counts, op6_pseudonyms, op7_language_spans, op8_repeated_strings, op9_exact_top_k, op10_jaccard_join)
 }
 
 _WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
