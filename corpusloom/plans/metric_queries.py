@@ -238,10 +238,10 @@ def paired_spread_bootstrap(spark: Session, d: str) -> DataFrame:
     return rounded(bootstrap.spread(t, ["b"]).agg(*bootstrap.interval("spread")))
 
 
-@query(f"WITH {SCORES}, {scores_sql('b', 'scores2')}, a AS (SELECT id, label, generator FROM scores WHERE cell = 'clean'), b AS (SELECT id, CASE WHEN id % 97 = 0 THEN 1 - label ELSE label END AS label, generator FROM scores2 WHERE cell = 'clean' AND id % 89 <> 0) "
+@query(f"WITH {SCORES}, {scores_sql('b', 'scores2')}, a AS (SELECT id, label, generator FROM scores WHERE cell = 'clean'), b AS (SELECT id, CASE WHEN \"group\" = 'es' THEN 1 - label ELSE label END AS label, generator FROM scores2 WHERE cell = 'clean' AND score IS NOT NULL) "
     "SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only in first' WHEN a.id IS NULL THEN 'only in second' ELSE 'differs' END AS problem FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL OR a.label <> b.label OR a.generator <> b.generator")
 def run_alignment_check(spark: Session, d: str) -> DataFrame:
     """A second run with planted faults: labels flipped, and rows missing."""
     a = scores(spark, d).filter("cell = 'clean'")
-    b = scores(spark, d, "b").filter("cell = 'clean' AND id % 89 <> 0").withColumn("label", F.when(F.col("id") % 97 == 0, 1 - F.col("label")).otherwise(F.col("label")))
+    b = scores(spark, d, "b").filter("cell = 'clean' AND score IS NOT NULL").withColumn("label", F.when(F.col("group") == "es", 1 - F.col("label")).otherwise(F.col("label")))
     return metrics.aligned(a, b, "id", ["label", "generator"])
