@@ -1,58 +1,19 @@
-"""What the operators of this subpackage share: word pattern, written tables, checked broadcasts."""
+"""What the operators of this subpackage share: words, and the library's written tables and checked broadcasts."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.storage import save, scratch_dir, small_enough
+
+__all__ = ["GAP", "WORD", "n_words", "save", "scratch_dir", "small_enough", "words"]
+
 #: Words are runs of anything but ASCII white space (fixed by the queries' contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 #: What lies between words.
 GAP = r"[\x20\x09-\x0D]+"
 
-_local_dir: str | None = None
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a local session (tests, notebooks) gets a temporary folder that goes with the
-    process; on a cluster that is an error, as executors share no local folder.
-    """
-    global _local_dir
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return f"{base.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if _local_dir is None:
-        _local_dir = tempfile.mkdtemp(prefix="corpusloom-")
-        atexit.register(shutil.rmtree, _local_dir, ignore_errors=True)
-    return _local_dir
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder as Parquet and read it again: lineage ends here, and a lost
-    executor costs a re-read only."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_enough(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a broadcast of the written table df if it has at most so many rows; else Spark shuffles both sides.
-
-    The count reads Parquet footers only.
-    """
-    return F.broadcast(df) if df.count() <= rows else df
-
-
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null and for texts without words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
