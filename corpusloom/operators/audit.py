@@ -131,7 +131,8 @@ def position_deciles(rows: DataFrame, frac: Column, label: str) -> DataFrame:
 
 
 def rank_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman's correlation over one row per group: Pearson's of average ranks. Null under three rows."""
+    """Spearman's correlation over one row per group: Pearson's of average ranks. Null under three rows, or if a side
+    is constant."""
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
     ranked = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(rank(x).alias("_x"), rank(y).alias("_y"))
-    return ranked.agg(F.count("*").alias("n"), F.corr("_x", "_y").alias("r")).select("n", F.when(F.col("n") >= 3, F.col("r")).alias("rho"))
+    return ranked.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("r")).select("n", F.when(F.col("n") >= 3, F.col("r")).alias("rho"))
