@@ -48,9 +48,13 @@ def feistel(symbols: Column, radices: Column, key: str, kind: Column, rounds: in
     (a, b), (ra, rb) = cut(symbols), cut(radices)
     move = lambda own, radix, other, n: F.zip_with(F.transform(own, lambda x, i: x + F.pmod(_digest(key, kind, n, other, i), F.element_at(radix, i + 1))), radix, lambda x, r: F.pmod(x, r))
     state = F.struct(a.alias("a"), b.alias("b"))
+
+    def both_halves(n: int) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
+        return lambda s: F.struct(move(s["a"], ra, s["b"], n).alias("a"), s["b"].alias("b")), lambda s: F.struct(s["a"].alias("a"), move(s["b"], rb, s["a"], n + 1).alias("b"))
+
     for n in range(0, rounds, 2):
-        state = _once(state, lambda s, n=n: F.struct(move(s["a"], ra, s["b"], n).alias("a"), s["b"].alias("b")))
-        state = _once(state, lambda s, n=n: F.struct(s["a"].alias("a"), move(s["b"], rb, s["a"], n + 1).alias("b")))
+        for step in both_halves(n):
+            state = _once(state, step)
     return _once(state, lambda s: F.concat(s["a"], s["b"]))
 
 
