@@ -4,7 +4,6 @@ penalty for each switch, labels spans of mixed-language text."""
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,9 +41,9 @@ SCRIPT_SHARE = 1e-3
 #: One word's score is a log-probability among the candidates, not under this; switching costs this much.
 FLOOR, SWITCH = -6.0, 8.0
 #: Words that a worker keeps scores of.
-KNOWN_WORDS = 200_000
-#: Words that are labelled at once.
-CHUNK_WORDS = 200_000
+KNOWN_WORDS = 100_000
+#: Characters of texts that are labelled at once.
+CHUNK_CHARS = 1_500_000
 
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -58,26 +57,26 @@ def script_of(word: str) -> int:
     return len(SCRIPTS)
 
 
-class _Buckets(dict):
-    """Buckets of n-grams, remembered up to a number of them."""
-
-    def __missing__(self, gram: str) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[gram] = out = zlib.crc32(gram.encode()) % BUCKETS
-        return out
-
-
-_buckets = _Buckets()
-
-
-def grams(word: str) -> list[int]:
-    """Buckets of the word's n-grams and of the word itself."""
-    w = f"<{word.lower()}>"
-    bucket = _buckets.__getitem__
-    found = [bucket(w[i : i + n]) for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)]
-    found.append(zlib.crc32(b"=" + w.encode()) % BUCKETS)
-    return found
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, number of the word) of the words' n-grams with their ends marked, and of the words as a whole."""
+    marked = ["<" + w.lower() + ">" for w in words]
+    code = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(marked)), size)
+    buckets, owners = [], []
+    h = np.zeros(len(code), np.uint64)
+    for n in range(1, LONGEST + 1):
+        h = (h[: len(code) - n + 1] + code[n - 1 :] + np.uint64(n)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+        whole = word[: len(h)] == word[n - 1 :]
+        buckets.append(h[whole])
+        owners.append(word[: len(h)][whole])
+    start = np.cumsum(size) - size
+    place = (np.arange(len(code)) - np.repeat(start, size)).astype(np.uint64)
+    full = np.add.reduceat((code + np.uint64(7)) * ((place * np.uint64(2) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)), start)
+    buckets.append((full ^ (full >> np.uint64(31))) * np.uint64(0x94D049BB133111EB))
+    owners.append(np.arange(len(marked)))
+    return ((np.concatenate(buckets) >> np.uint64(20)) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate(owners)
 
 
 class Model:
@@ -105,9 +104,8 @@ class Model:
         if len(self.index) > KNOWN_WORDS:
             self.index, self.rows = {}, self.rows[:0]
         if fresh := [w for w in words if w not in self.index]:
-            found = [grams(w) for w in fresh]
-            ends = np.cumsum([len(g) for g in found])
-            s = np.add.reduceat(self.logs[[b for g in found for b in g]].astype(np.float64), np.concatenate([[0], ends[:-1]]), axis=0)
+            bucket, owner = grams(fresh)
+            s = np.stack([np.bincount(owner, log[bucket], len(fresh)) for log in self.logs.T], axis=1)
             may = self.scripts[[script_of(w) for w in fresh]]
             known = may.any(axis=1, keepdims=True)
             s = np.where(known, np.where(may, s, -np.inf), 0.0)
@@ -157,18 +155,24 @@ def label(model: Model, texts: list[str | None], spans: bool = False) -> list[tu
 
     spans: (start, end, language) of maximal runs of words of one language, in characters.
     """
-    found = [list(LETTERS.finditer(x or "")) if spans else LETTERS.findall(x or "") for x in texts]
+    find = (lambda x: list(LETTERS.finditer(x))) if spans else LETTERS.findall
     out: list[tuple] = [("und", 0.0, []) if spans else ("und", 0.0)] * len(texts)
     if not model.langs:
         return out
     at = 0
-    by_size = sorted((i for i in range(len(texts)) if found[i]), key=lambda i: -len(found[i]))
+    by_size = sorted((i for i, x in enumerate(texts) if x), key=lambda i: -len(texts[i]))
     while at < len(by_size):
-        take, n = [], 0
-        while at < len(by_size) and (not take or n + len(found[by_size[at]]) <= CHUNK_WORDS):
-            take.append(by_size[at])
-            n += len(found[by_size[at]])
+        take, found, chars, n = [], {}, 0, 0
+        while at < len(by_size) and (not chars or chars + len(texts[by_size[at]]) <= CHUNK_CHARS):
+            i = by_size[at]
             at += 1
+            chars += len(texts[i])
+            if ws := find(texts[i]):
+                take.append(i)
+                found[i] = ws
+                n += len(ws)
+        if not take:
+            continue
         flat = [m.group() if spans else m for i in take for m in found[i]]
         ids: dict[str, int] = {}
         codes = np.fromiter((ids.setdefault(w, len(ids)) for w in flat), np.int64, n)
@@ -208,8 +212,9 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 own = seen.setdefault(lang, np.zeros(BUCKETS + len(NAMES), np.int64))
-                for w in LETTERS.findall(text):
-                    np.add.at(own, [*grams(w), BUCKETS + script_of(w)], 1)
+                if ws := LETTERS.findall(text):
+                    own[:BUCKETS] += np.bincount(grams(ws)[0], minlength=BUCKETS)
+                    own[BUCKETS:] += np.bincount([script_of(w) for w in ws], minlength=len(NAMES))
         for lang, own in seen.items():
             at = np.flatnonzero(own)
             yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": own[at]})
