@@ -27,7 +27,7 @@ from .common import save
 U = np.uint64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words that a worker remembers the hashes of.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 #: Hash classes may be empty, which says nothing; a set with empty ones is classed anew, up to so many times.
 DEALS = 8
 #: Rounds of comparison with hubs before all members of different components are compared.
