@@ -86,7 +86,7 @@ def cell_metrics_full(spark: Session, d: str) -> DataFrame:
     return rounded(grid_metrics(spark, d))
 
 
-@query(f"WITH {SCORES} SELECT \"group\" AS lang, CAST(ceil(1 / 0.01e0) AS INTEGER) AS min_negatives, round(sqrt((p + n + 1) / CAST(12 * p * n AS DOUBLE)), 6) AS null_sd FROM (SELECT \"group\", sum(label) AS p, count(*) - sum(label) AS n FROM items GROUP BY \"group\")")
+@query(f"WITH {SCORES} SELECT \"group\" AS lang, CAST(ceil(1 / 0.01e0) AS INTEGER) AS min_negatives, round(sqrt((p + n + 1) / nullif(CAST(12 * p * n AS DOUBLE), 0)), 6) AS null_sd FROM (SELECT \"group\", sum(label) AS p, count(*) - sum(label) AS n FROM items GROUP BY \"group\")")
 def auroc_null_sd(spark: Session, d: str) -> DataFrame:
     g = items(spark, d).groupBy(F.col("group").alias("lang")).agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("n"))
     return rounded(g.select("lang", F.lit(metrics.minimum_negatives(0.01)).alias("min_negatives"), metrics.auroc_null_sd(F.col("p"), F.col("n")).alias("null_sd")))
