@@ -37,6 +37,8 @@ STEPS = 4
 #: The quantile of the chi-squared distribution, with P degrees of freedom, beyond which documents are rejected.
 CUT = 0.999
 SMALL_ROWS = 100_000
+#: The steps of sql_params() after which the groups' table is written.
+WRITTEN = (2, 5, 7, 10, 11)
 #: Positions of words take so many bits of a sorting key.
 POSITION_BITS = 24
 
@@ -158,26 +160,28 @@ def sql_moments(vectors: str, params: str) -> str:
     )
 
 
-def sql_params(moments: str) -> str:
-    """Per group: mean, and the inverse of the Cholesky factor of the covariance with the least deviations added."""
+def sql_params() -> list[str]:
+    """Steps from moments to mean and inverse Cholesky factor, each from the one before, named BEFORE.
+
+    The covariance has the squared least deviations added. Steps are written one by one, as an optimiser that
+    merges them would write out each entry of the factor again and again.
+    """
     mean = ", ".join(f"1.0e0 * s{j} / n AS m{j}" for j in range(P))
     cov = ", ".join(f"1.0e0 * s{j}_{k} / n - m{j} * m{k}" + (f" + {FLOORS[j] ** 2}e0" if j == k else "") + f" AS c{j}_{k}" for j, k in PAIRS)
-    steps, last = [f"t AS (SELECT *, {mean} FROM {moments})", f"l AS (SELECT *, {cov} FROM t)"], "l"
-    for j in range(P):  # rows of the factor from the top, entry by entry
-        for k in range(j + 1):
-            dot = "".join(f" - l{j}_{i} * l{k}_{i}" for i in range(k))
-            entry = f"sqrt(c{j}_{k}{dot})" if j == k else f"(c{j}_{k}{dot}) / l{k}_{k}"
-            steps.append(f"l{j}{k} AS (SELECT *, {entry} AS l{j}_{k} FROM {last})")
-            last = f"l{j}{k}"
+    steps = [f"SELECT *, {cov} FROM (SELECT *, {mean} FROM BEFORE)"]
+    for k in range(P):  # the factor, column by column: its diagonal entry, and what is below
+        dot = lambda j: "".join(f" - l{j}_{i} * l{k}_{i}" for i in range(k))  # noqa: B023, E731
+        below = "".join(f", (c{j}_{k}{dot(j)}) / l{k}_{k} AS l{j}_{k}" for j in range(k + 1, P))
+        steps.append(f"SELECT *{below} FROM (SELECT *, sqrt(c{k}_{k}{dot(k)}) AS l{k}_{k} FROM BEFORE)")
     for d in range(P):  # the inverse triangle, diagonal by diagonal
         entries = []
         for k in range(P - d):
             j = k + d
             dot = " + ".join(f"l{j}_{i} * i{i}_{k}" for i in range(k, j))
             entries.append(f"1.0e0 / l{j}_{j} AS i{j}_{j}" if d == 0 else f"-({dot}) / l{j}_{j} AS i{j}_{k}")
-        steps.append(f"v{d} AS (SELECT *, {', '.join(entries)} FROM {last})")
-        last = f"v{d}"
-    return f"WITH {', '.join(steps)} SELECT g, total, {', '.join(f'm{j}' for j in range(P))}, {', '.join(f'i{j}_{k}' for j, k in PAIRS)} FROM {last}"
+        steps.append(f"SELECT *, {', '.join(entries)} FROM BEFORE")
+    steps.append(f"SELECT g, total, {', '.join(f'm{j}' for j in range(P))}, {', '.join(f'i{j}_{k}' for j, k in PAIRS)} FROM BEFORE")
+    return steps
 
 
 def sql_verdicts(stats: str, params: str) -> str:
@@ -209,7 +213,11 @@ def judge(docs: DataFrame) -> DataFrame:
     params = save(spark.sql(sql_start("{vectors}"), vectors=vectors), "quality-params")
     for _ in range(STEPS):
         moments = spark.sql(sql_moments("{vectors}", "{params}"), vectors=vectors, params=small_enough(params, SMALL_ROWS))
-        params = save(spark.sql(sql_params("{moments}"), moments=moments), "quality-params")
+        params = save(moments, "quality-moments")
+        for n, step in enumerate(sql_params()):
+            params = spark.sql(step.replace("BEFORE", "{before}"), before=params)
+            if n in WRITTEN:
+                params = save(params, "quality-params")
     head, verdict = sql_verdicts("{stats}", "{params}")
     frame = save(spark.sql(f"{head} SELECT * FROM f", stats=stats, params=params), "quality-frame")
     return spark.sql(verdict.replace("FRAME", "{frame}"), stats=stats, frame=small_enough(frame, SMALL_ROWS))
@@ -231,7 +239,9 @@ stats AS (SELECT d.doc_id, lang, source, CAST(coalesce(n_words, 0) AS BIGINT) AS
   FROM d LEFT JOIN a ON a.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN r ON r.doc_id = d.doc_id)"""
     parts = [stats, f"vectors AS ({sql_vectors('stats')})", f"params0 AS ({sql_start('vectors')})"]
     for n in range(STEPS):
-        parts += [f"moments{n} AS ({sql_moments('vectors', f'params{n}')})", f"params{n + 1} AS ({sql_params(f'moments{n}')})"]
+        parts.append(f"moments{n} AS ({sql_moments('vectors', f'params{n}')})")
+        names = [f"moments{n}", *(f"step{n}_{k}" for k in range(len(sql_params()) - 1)), f"params{n + 1}"]
+        parts += [f"{after} AS ({step.replace('BEFORE', before)})" for step, before, after in zip(sql_params(), names, names[1:])]
     head, verdict = sql_verdicts("stats", f"params{STEPS}")
     parts.append(f"frame AS ({head} SELECT * FROM f)")
     return f"WITH {', '.join(parts)} {verdict.replace('FRAME', 'frame')}"
