@@ -147,7 +147,8 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int =
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: a row of docs for each copy taken, with its shard and its place's key within the shard.
 
-    Rows that share an id get their own placements each, by the order of size, source and text.
+    Rows that share an id get their own placements each, by the order of size, source and text. Columns of docs named
+    shard and shard_order are replaced.
     """
     nth = lambda *by: F.row_number().over(Window.partitionBy("_id").orderBy(*by))
     own = docs.withColumn("_id", F.col("doc_id")).withColumn("_size", n_words(F.col("text")))
@@ -155,4 +156,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), "size", "source", "placements").withColumn("_nth", nth("size", "source"))
     taken = taken.filter(F.size("placements") > 0).select(F.col("_id").alias("_tid"), F.col("_nth").alias("_tnth"), "placements")
     rows = own.join(taken, own["_id"].eqNullSafe(taken["_tid"]) & (own["_nth"] == taken["_tnth"]))
-    return rows.withColumn("_p", F.explode("placements")).select(*[own[c] for c in docs.columns], F.col("_p.shard").alias("shard"), F.col("_p.order").alias("shard_order"))
+    return rows.withColumn("_p", F.explode("placements")).select(*[own[c] for c in docs.columns if c not in ("shard", "shard_order")], F.col("_p.shard").alias("shard"), F.col("_p.order").alias("shard_order"))

@@ -102,7 +102,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, *, id_col: str = "ve
     take no part; neither do null ids. A repeated id counts once. Vectors meet those of their own length only;
     empty vectors score 0. Other columns are ignored.
     """
-    table = save(quantised(vectors.withColumn("_q", is_query), id_col, vec_col, scale), "topk-vectors")
+    table = save(quantised(vectors, id_col, vec_col, scale), "topk-vectors")
     ids = vectors.filter(is_query).select(F.col(id_col).cast("bigint").alias("id")).distinct()
     queries = table.join(ids, "id", "left_semi")
     n, most = table.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))).first()

@@ -1,0 +1,297 @@
+"""Quality rules, packing, licences, token counts, pseudonyms, languages."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corpusloom.llm import encode, langid, licences, packing, pii, quality, token_count
+from corpusloom.llm.queries import BYTE_VOCABULARY, ORACLE, QUERIES, WORD_VOCABULARY, vocabulary
+
+from .helpers import CLASHES, DATA, ODD, duck, frame, oracle_rows, words
+
+EMPTY: list = []
+
+
+def views(names=("documents",)):
+    con = duck()
+    for t in names:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DATA}/{t}.parquet')")
+    return con
+
+
+@pytest.mark.parametrize("name", ["op1_quality_rules", "op3_licence_scan", "op4_mix_sources"])
+def test_sql_twins(spark, name):
+    got, want = oracle_rows(ORACLE[name], QUERIES[name](spark, DATA), views())
+    assert got == want
+
+
+# --- quality rules
+
+
+def brute_statistics(text):
+    w = words(text)
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if words(line):
+            dup += line in seen
+            seen.add(line)
+    places: dict = {}
+    for i in range(len(w) - 2):
+        places.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {i + k for at in places.values() if len(at) > 1 for i in at for k in range(3)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), dup, len(covered)
+
+
+def test_statistics_by_brute_force(spark):
+    rng = random.Random(0)
+    rows = ODD + [(100 + i, "".join(rng.choice(["a ", "b ", "b\n", "## ", "c\t", "\n"]) for _ in range(rng.randint(0, 60))), "en", "a", 0) for i in range(150)]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    got = [(r["doc_id"], *(r[n] for n in names)) for r in quality.judge(frame(spark, rows, CLASHES)).collect()]
+    assert sorted(got) == sorted((r[0], *brute_statistics(r[1])) for r in rows)
+    for r in quality.judge(frame(spark, rows)).collect():
+        assert r["base_failed"] == (r["n_words"] < 50 or 100 * r["n_repeat_words"] > 50 * r["n_words"])
+        assert not (r["base_failed"] and r["kept"])
+    assert quality.judge(frame(spark, EMPTY)).count() == 0
+
+
+def test_outliers_go_and_the_rest_stays(spark):
+    rng = random.Random(1)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [(i, prose(rng.randint(60, 900)), "en", "a" if i % 3 else "b", 0) for i in range(300)]
+    rows += [(1000 + i, " ".join(w + "###" for w in prose(200).split()), "en", "a", 0) for i in range(20)]
+    kept = {r["doc_id"]: r["kept"] for r in quality.judge(frame(spark, rows)).collect()}
+    assert not any(kept[1000 + i] for i in range(20)) and sum(kept[i] for i in range(300)) >= 298
+
+
+def test_chi_squared():
+    assert quality.chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-4) and quality.chi2_quantile(0.999, 5) == pytest.approx(20.515, abs=1e-3)
+
+
+# --- packing
+
+
+@pytest.fixture(scope="module")
+def word_lib():
+    return encode.library(vocabulary(WORD_VOCABULARY))
+
+
+def test_packing_round_trip(spark, word_lib):
+    rows = ODD + [(200 + i, " ".join(f"w{k}" for k in range(i * 9)), "en", "a", 0) for i in range(120)]
+    got = packing.pack(frame(spark, rows, CLASHES), vocabulary(WORD_VOCABULARY), capacity=256, with_ids=True).collect()
+    docs: dict = {}
+    for r in got:
+        assert r["length"] == len(r["ids"]) <= 256 and r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
+        docs.setdefault(r["doc_id"], []).append(r)
+    for i, text, *_ in rows:
+        want = [*word_lib.encode(text or "", add_special_tokens=False).ids, 0]
+        own = sorted(docs[i], key=lambda r: r["piece"])
+        copies = sum(x[0] == i for x in rows)
+        assert len(own) == copies * -(-len(want) // 256)
+        assert [x for r in own[::copies] for x in r["ids"]] == want and all(r["start"] == 256 * r["piece"] for r in own)
+    bins: dict = {}
+    for r in got:
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for own in bins.values():
+        end = 0
+        for at, n in sorted(own):
+            assert at == end
+            end += n
+        assert end <= 256 and sum(3 * n > 256 for _, n in own) <= 2
+    total = sum(r["length"] for r in got)
+    assert len(bins) <= 1.1 * -(-total // 256) + 1
+    assert packing.pack(frame(spark, EMPTY), vocabulary(WORD_VOCABULARY)).count() == 0
+
+
+def test_plan_places_all_gaplessly():
+    rng = random.Random(2)
+    for cap in (7, 30, 500):
+        for _ in range(60):
+            counts = {rng.randint(1, cap): rng.randint(1, 40) for _ in range(rng.randint(1, 30))}
+            runs: dict = {}
+            for n, first, seq, each, at in packing.plan(counts, cap):
+                runs.setdefault(n, []).append((first, seq, each, at))
+            bins: dict = {}
+            for n, c in counts.items():
+                for r in range(c):
+                    first, seq, each, at = [x for x in sorted(runs[n]) if x[0] <= r][-1]
+                    bins.setdefault(seq + (r - first) // each, []).append((at + (r - first) % each * n, n))
+            for own in bins.values():
+                end = 0
+                for at, n in sorted(own):
+                    assert at == end
+                    end += n
+                assert end <= cap
+
+
+def test_encoder_equals_library(word_lib):
+    rng = random.Random(3)
+    alphabet = [chr(i) for i in range(0x20, 0x180)] + [" ", "\n", "'s", "'LL", "İ", "ß", "é", "漢", "<|startoftext|>", "\x85", "١"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(3000)]
+    e = encode.WordEncoder(vocabulary(WORD_VOCABULARY), most=500)
+    got = [x for k in range(0, 3000, 100) for x in e.encode(texts[k : k + 100])]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [x.ids for x in word_lib.encode_batch(texts, add_special_tokens=False)]
+
+
+# --- token counts
+
+
+def test_token_counts_equal_library(spark):
+    lib = encode.library(vocabulary(BYTE_VOCABULARY))
+    rng = random.Random(4)
+    alphabet = [" ", "  ", "\n", "\t", "\xa0", "　", "a", "B", "é", "漢", "1", "²", "'s", "'ll", "'", "!", "\U0001f600", "<|endoftext|>", "͸", " ", "ა", "\x1c"]
+    rows = ODD + [(300 + i, "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))), "en", "a", 0) for i in range(400)]
+    got = sorted(map(tuple, token_count.count_tokens(frame(spark, rows, CLASHES), vocabulary(BYTE_VOCABULARY)).collect()))
+    want = []
+    for i, text, *_ in rows:
+        n = len(lib.encode(text or "", add_special_tokens=False).ids)
+        want.append((i, len((text or "").encode()), n, n > 512))
+    assert got == sorted(want)
+    assert token_count.count_tokens(frame(spark, EMPTY), vocabulary(BYTE_VOCABULARY)).count() == 0
+
+
+def test_token_counts_without_frequent_words(spark, monkeypatch):
+    monkeypatch.setattr(token_count, "FREQUENT", 0)
+    a = sorted(map(tuple, token_count.count_tokens(frame(spark), vocabulary(BYTE_VOCABULARY)).collect()))
+    monkeypatch.setattr(token_count, "FREQUENT", 1 << 18)
+    assert a == sorted(map(tuple, token_count.count_tokens(frame(spark), vocabulary(BYTE_VOCABULARY)).collect()))
+
+
+# --- pseudonyms
+
+
+def brute_feistel(symbols, radices, key, kind):
+    half = len(symbols) // 2
+    parts, rad = [list(symbols[:half]), list(symbols[half:])], [radices[:half], radices[half:]]
+    for n in range(pii.ROUNDS):
+        own, other = parts[n % 2], parts[1 - n % 2]
+        text = ",".join(map(str, other))
+        for i in range(len(own)):
+            h = int(hashlib.sha256(f"{key}|{kind}|{n}|{i}|{text}".encode()).hexdigest()[:13], 16)
+            own[i] = (own[i] + h % rad[n % 2][i]) % rad[n % 2][i]
+    return parts[0] + parts[1]
+
+
+def pseudonyms(spark, texts):
+    df = pii.pseudonymise(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), "k")
+    return {r["doc_id"]: r for r in df.collect()}
+
+
+def test_feistel_by_brute_force(spark):
+    got = pseudonyms(spark, ["x 4111111111111111 y 10.1.2.3 z +1 (415) 555-2671", "5500-0000-0000-0004"])
+    body = brute_feistel([4] + [1] * 14, [10] * 15, "k", "card16")
+    check = next(c for c in range(10) if sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(reversed([*body, c]))) % 10 == 0)
+    ip = ".".join(map(str, brute_feistel([10, 1, 2, 3], [256] * 4, "k", "ipv4")))
+    ph = "".join(map(str, brute_feistel([4, 1, 5, 5, 5, 5, 2, 6, 7, 1], [10] * 10, "k", "phone")))
+    assert got[0]["text"] == f"x {''.join(map(str, body))}{check} y {ip} z +1 ({ph[:3]}) {ph[3:6]}-{ph[6:]}"
+    assert [x["kind"] for x in got[1]["pii"]] == ["card"] and got[1]["text"].count("-") == 3
+
+
+def test_valid_values_only_and_links(spark):
+    texts = ["4111111111111112 999.1.1.1 2023-02-30 000-12-1234 13/45/2020 1.2.3.4.5 v2.0.1 12345", "dob 1999-12-31 and 12/31/1999", "again 1999-12-31", None, "", "mail a.b+c@Example.org x@y", 'token = "0123456789abcdef0123456789abcdef" 0123456789abcdef0123456789abcdef']
+    got = pseudonyms(spark, texts)
+    assert got[0]["text"] == texts[0] and got[0]["pii"] == [] and got[3]["text"] is None and got[3]["pii"] == [] and got[4]["text"] == ""
+    iso, us = (x["pseudonym"] for x in got[1]["pii"])
+    assert got[2]["pii"][0]["pseudonym"] == iso != "1999-12-31" and us == f"{iso[5:7]}/{iso[8:]}/{iso[:4]}"
+    assert got[5]["text"].endswith("@Example.org x@y") and "a.b+c" not in got[5]["text"]
+    assert len(got[6]["pii"]) == 1 and got[6]["text"].endswith(" 0123456789abcdef0123456789abcdef")
+
+
+def test_permutations_are_one_to_one(spark):
+    days = spark.sql("SELECT id AS doc_id, date_format(date_add(date'1960-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS text FROM range(4000)")
+    out = [r["text"] for r in pii.pseudonymise(days, "k").collect()]
+    assert len(set(out)) == 4000
+    ssn = spark.sql("SELECT id AS doc_id, format_string('%03d-%02d-%04d', 1 + id % 665, 1 + id % 99, 1 + id) AS text FROM range(4000)")
+    out = [r["text"] for r in pii.pseudonymise(ssn, "k").collect()]
+    assert len(set(out)) == 4000 and not any(x.startswith(("000", "666", "9")) or x[4:6] == "00" or x.endswith("0000") for x in out)
+    other = [r["text"] for r in pii.pseudonymise(ssn, "k2").collect()]
+    assert sum(a == b for a, b in zip(out, other)) < 10
+
+
+def test_pii_odd_rows(spark):
+    got = pii.pseudonymise(frame(spark, ODD, CLASHES))
+    assert got.count() == len(ODD) and sorted(got.columns) == sorted(frame(spark, ODD, CLASHES).columns)
+    assert pii.pseudonymise(frame(spark, EMPTY)).count() == 0
+
+
+# --- licences
+
+
+def test_licence_rules(spark):
+    mit = "The MIT License (MIT)\n\n" + licences.SENTENCES["mit-grant"].replace(" to deal", "\nto deal") + ":\n\n" + licences.SENTENCES["mit-notice"] + ".\n" + licences.SENTENCES["mit-as-is"] + "."
+    texts = {
+        1: mit,
+        2: "Prose before it\nLicensed under CC BY-NC 4.0.\nmore prose. Released under the MIT License.",
+        3: "released UNDER the mit   license!",
+        4: licences.SENTENCES["mit-as-is"] + ". " + licences.SENTENCES["mit-grant"] + ".",  # out of order
+        5: "A licence is mentioned, but no sentence is known.",
+        6: None,
+        7: "",
+    }
+    rows = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame([(k, v) for k, v in texts.items()], "doc_id long, text string")).collect()}
+    assert (rows[1]["licences"], rows[1]["open_use"]) == ("MIT", True)
+    assert (rows[2]["licences"], rows[2]["n_licences"], rows[2]["open_use"]) == ("MIT,CC-BY-NC-4.0", 2, False)
+    assert rows[3]["licences"] == "MIT" and rows[4]["licences"] == "" and rows[4]["sentence_ids"] == "mit-as-is mit-grant"
+    assert all(rows[k]["licences"] == rows[k]["sentence_ids"] == "" and not rows[k]["open_use"] for k in (5, 6, 7))
+    assert licences.scan(frame(spark, ODD, CLASHES)).count() == len(ODD) and licences.scan(frame(spark, EMPTY)).count() == 0
+
+
+def test_every_sentence_has_a_hint():
+    import re
+
+    assert all(re.search(licences.HINT, s.lower()) for s in licences.SENTENCES.values())
+    assert {x for _, _, ss in licences.RULES for x in ss} <= set(licences.SENTENCES)
+
+
+# --- languages
+
+
+def test_viterbi_by_brute_force():
+    import itertools
+
+    rng = np.random.default_rng(5)
+    lengths = np.array([3, 1, 6, 4])
+    scores = rng.uniform(-9, 0, (lengths.sum(), 3))
+    got, at = langid.viterbi(scores, lengths), 0
+    for n in lengths:
+        own = scores[at : at + n]
+        value = lambda p, own=own: sum(own[i, x] for i, x in enumerate(p)) - langid.SWITCH * sum(a != b for a, b in zip(p, p[1:]))
+        best = max(itertools.product(range(3), repeat=int(n)), key=value)
+        assert value(tuple(got[at : at + n])) == pytest.approx(value(best))
+        at += n
+
+
+def test_held_out_accuracy_and_labels_unused(spark):
+    rows = QUERIES["op7_language_spans"](spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
+    held = [r for r in rows.collect() if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows.collect())
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.99 * len(held)
+
+
+def test_spans_scripts_and_odd_rows(spark):
+    rng = random.Random(6)
+    make = lambda parts, n: " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    en, de, ru = ["th", "er", "on", "an"], ["sch", "ein", "ung", "ü"], ["при", "ост", "ова"]
+    train = spark.createDataFrame([(i, make(p, 80), x) for i in range(90) for p, x in ((en, "en"), (de, "de"), (ru, "ru"))], "doc_id long, text string, lang string")
+    model = langid.train(train)
+    a, b = make(en, 30), make(de, 25)
+    (lang, score, spans), (und, zero, none), (r, _, _) = langid.label(model, [f"{a} {b}", "123 !!", make(ru, 9)], spans=True)
+    assert (lang, und, zero, none, r) == ("en" if len(a.replace(" ", "")) >= len(b.replace(" ", "")) else "de", "und", 0.0, [], "ru")
+    assert [x for _, _, x in spans] == ["en", "de"] and abs(spans[0][1] - len(a)) < 8 and 0.4 < score < 0.7
+    assert not model.scripts[langid.script_of("я")][[model.langs.index("en"), model.langs.index("de")]].any()
+    got = langid.identify(frame(spark, ODD, CLASHES), model, spans=True)
+    rows = {(r["doc_id"]): r for r in got.collect()}
+    assert got.count() == len(ODD) and rows[1]["lang_pred"] == rows[2]["lang_pred"] == rows[3]["lang_pred"] == "und"
+    assert langid.identify(frame(spark, EMPTY), model).count() == 0
+    blank = langid.train(train.filter("false"))
+    assert [r["lang_pred"] for r in langid.identify(frame(spark, ODD[6:8]), blank).collect()] == ["und", "und"]
+
+
+def test_registered_names():
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert F is not None
