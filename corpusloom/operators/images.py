@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import jpegfile
 from ..functions import rasters as R
 from ..sources import png
 from .cells import grid
@@ -123,6 +124,16 @@ def ela(images: DataFrame, quality: int = 85) -> DataFrame:
     return mapped(images, one, "id string, mean double, p99 double, heat binary")
 
 
+def encoded(images: DataFrame, quality: int = 95) -> DataFrame:
+    """(id, kb, content): each raster as a JPEG file, and its size."""
+
+    def one(r: dict, a: np.ndarray) -> list[tuple]:
+        data = jpegfile.encode(a, quality)
+        return [(r["id"], len(data) / 1024, data)]
+
+    return mapped(images, one, "id string, kb double, content binary")
+
+
 def normalised(images: DataFrame, qualities: list[int], size: int = 512, seed: int = 0) -> DataFrame:
     """(id, label, status, crop_x, crop_y, first_gen_quality, height, width, data): data is null where rejected."""
 

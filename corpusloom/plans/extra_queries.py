@@ -61,6 +61,11 @@ def ela_summary(spark: Session, d: str) -> DataFrame:
     return images.ela(images.synthetic(spark, N_IMAGES, partitions=8)).drop("heat")
 
 
+@query()
+def encoded_sizes(spark: Session, d: str) -> DataFrame:
+    return images.encoded(images.synthetic(spark, N_IMAGES, partitions=8)).drop("content")
+
+
 @query()
 def normalised_corpus(spark: Session, d: str) -> DataFrame:
     return images.normalised(images.synthetic(spark, N_IMAGES, 96, partitions=8), list(images.BAKED_QUALITIES), size=64).drop("data")

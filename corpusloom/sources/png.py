@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 
+from ..functions.jpegfile import ZIGZAG
 from ..functions.rasters import LUMA, quant_table, to_rgb
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -150,16 +151,13 @@ def segments(data: bytes) -> list[tuple[int, bytes]]:
     return out
 
 
-_ZIGZAG = sorted(range(64), key=lambda k: (k // 8 + k % 8, k // 8 if (k // 8 + k % 8) % 2 else k % 8))
-
-
 def luma_table(data: bytes) -> np.ndarray | None:
     for marker, body in segments(data):
         if marker == 0xDB and len(body) >= 65 and body[0] & 15 == 0:
             wide = body[0] >> 4
             values = np.frombuffer(body[1 : 1 + 64 * (1 + wide)], ">u2" if wide else np.uint8)
             out = np.zeros(64, np.int64)
-            out[_ZIGZAG] = values[:64]
+            out[ZIGZAG] = values[:64]
             return out.reshape(8, 8)
     return None
 

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 
+from corpusloom.functions import jpegfile
 from corpusloom.functions import rasters as R
 from corpusloom.operators import cells, images, metrics
 from corpusloom.sources import png
@@ -124,7 +125,7 @@ def test_png_filters_are_undone():
 @pytest.mark.parametrize("quality", [30, 75, 95])
 def test_jpeg_quality_and_orientation(quality):
     table = R.quant_table(R.LUMA, quality).ravel()
-    dqt = b"\xff\xdb" + struct.pack(">H", 67) + b"\0" + bytes(int(table[k]) for k in png._ZIGZAG)
+    dqt = b"\xff\xdb" + struct.pack(">H", 67) + b"\0" + bytes(int(table[k]) for k in png.ZIGZAG)
     tiff = b"II*\0\x08\0\0\0\x01\0" + struct.pack("<HHII", 274, 3, 1, 6) + b"\0\0\0\0"
     exif = b"Exif\0\0" + tiff
     data = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(exif) + 2) + exif + dqt + b"\xff\xda"
@@ -152,3 +153,31 @@ def test_quality_prior(spark):
     many = spark.createDataFrame([(0, 80)] * 75 + [(0, 90)] * 25 + [(1, 30)] * 50, "label int, src_jpeg_quality int")
     got = images.quality_prior(many)
     assert set(got) == {80, 90} and got.count(80) == 3 * got.count(90)
+
+
+@pytest.mark.parametrize("subsample", [True, False])
+@pytest.mark.parametrize("quality", [20, 75, 95])
+def test_jpeg_files_are_read_by_others(spark, tmp_path, photo, quality, subsample):
+    a = photo[:70, :90]
+    data = jpegfile.encode(a, quality, subsample)
+    (tmp_path / "x.jpg").write_bytes(data)
+    row = spark.read.format("image").load(str(tmp_path)).select("image.*").first()
+    back = np.frombuffer(row["data"], np.uint8).reshape(row["height"], row["width"], 3)[:, :, ::-1]
+    assert back.shape == a.shape and np.abs(back.astype(float) - R.jpeg(a, quality, subsample)).mean() < (4 if subsample else 1.5)
+    assert png.jpeg_quality(data) == quality
+    assert len(data) < len(jpegfile.encode(a, 100, subsample))
+
+
+def test_code_lengths_are_a_code():
+    from collections import Counter
+
+    for counts in (Counter({1: 5}), Counter({k: 2**k for k in range(24)}), Counter({k: 1 for k in range(162)})):
+        n = jpegfile.code_lengths(counts)
+        assert set(n) == set(counts) and max(n.values()) <= 16 and sum(2.0**-x for x in n.values()) < 1
+        own = list(jpegfile.codes(n).values())
+        assert len(set(own)) == len(own) and all(code < (1 << m) - 1 or m < max(x for _, x in own) for code, m in own)
+
+
+def test_encoded_sizes(spark):
+    rows = images.encoded(images.synthetic(spark, 3, 32), 90).collect()
+    assert all(r["kb"] == len(r["content"]) / 1024 and bytes(r["content"]).startswith(b"\xff\xd8") for r in rows)
