@@ -32,3 +32,10 @@ def sql_hash32(expr: str) -> str:
 
 def sql_uniform(expr: str) -> str:
     return f"({sql_hash32(expr)} / 4294967296.0e0)"
+
+
+def config_hash(config: dict) -> str:
+    """Twelve hex digits of a configuration, whatever the order of its keys."""
+    import hashlib
+
+    return hashlib.blake2b("|".join(f"{k}={config[k]}" for k in sorted(config)).encode(), digest_size=6).hexdigest()

@@ -41,6 +41,15 @@ def within_quota(rows: DataFrame, source: str, quota: Column, *order: Column | s
     return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= quota).drop("_r")
 
 
+def upload_list(files: DataFrame, extensions: tuple[str, ...], most: int = 50, most_bytes: int = 25 * 1024 * 1024) -> DataFrame:
+    """Files (pos, name, size) that an upload takes: the first of each name and size with a known extension, up to so
+    many; each with a problem if it is too large."""
+    known = files.filter(F.lower(F.substring_index("name", ".", -1)).isin(*extensions))
+    first = Window.partitionBy("name", "size").orderBy("pos")
+    one = known.withColumn("_r", F.row_number().over(first)).filter("_r = 1").drop("_r")
+    return one.orderBy("pos").limit(most).withColumn("problem", F.when(F.col("size") > most_bytes, "too large"))
+
+
 def ingest(rows: DataFrame, ledger: DataFrame | None, *, key: str, source: str, rules: list[tuple[str, Column]], quota: Column, order: Column) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, counts of reasons by source): rules, then content seen before, then the quota."""
     checked = reasons(with_hash(rows), rules)

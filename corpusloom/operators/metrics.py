@@ -162,3 +162,9 @@ def aligned(a: DataFrame, b: DataFrame, key: str, same: list[str]) -> DataFrame:
         differ = differ | ~F.col(f"_a_{c}").eqNullSafe(F.col(f"_b_{c}"))
     why = F.when(F.col("_b").isNull(), "only in first").when(F.col("_a").isNull(), "only in second").when(differ, "differs")
     return j.select(key, why.alias("problem")).filter("problem IS NOT NULL")
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows of one side that the other lacks, repeats counted; two ways to compute the same leave none."""
+    a = a.select(b.columns)
+    return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))

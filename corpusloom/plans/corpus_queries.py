@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, dedup, ingest, scoring, splits
+from ..operators import audit, dedup, ingest, metrics, scoring, splits
 from ..sources import catalog
 from .metric_queries import rounded
 from .registry import query
@@ -391,3 +391,13 @@ def geometry(spark: Session, d: str) -> DataFrame:
     rows = probed(spark, d).select("doc_id", F.col("n_chars_real").alias("width"), F.col("n_lines").alias("height"), "n_bytes")
     out = audit.geometry(rows).select("doc_id", (F.col("width") / 1e6).alias("megapixels"), (F.col("width") == F.col("n_bytes")).alias("is_square"), F.round("bytes_per_pixel", 6).alias("bytes_per_pixel"), "short_side")
     return out
+
+
+@query("SELECT vec_id, CAST(0 AS DOUBLE) AS norm2, '' AS only_in FROM embeddings WHERE false")
+def feature_path_differences(spark: Session, d: str) -> DataFrame:
+    """Squared lengths by array functions and by rows: none may differ."""
+    e = F.col("embedding")
+    whole = vectors(spark, d).select("vec_id", F.round(scoring.dot(e, e), 6).alias("norm2"))
+    x = F.col("x").cast("double")
+    rows = vectors(spark, d).select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.round(F.sum(x * x), 6).alias("norm2"))
+    return metrics.differences(whole, rows)

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import audit, dedup, images, ingest, scoring, splits
+from corpusloom.functions import hashing, rasters, sql
+from corpusloom.operators import audit, dedup, images, ingest, metrics, scoring, splits
 from corpusloom.operators.components import components
 from corpusloom.sources import catalog, png, readers
 from corpusloom.streaming.ingest import ingest_stream, windowed_counts
@@ -194,3 +195,22 @@ def test_readers(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("image_path,label,generator,source_dataset,split\np,7,g,s,test\n")
     with pytest.raises(Exception, match="label must be 0 or 1"):
         readers.manifest(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_sql_functions(spark):
+    assert len(sql.register(spark)) == 7
+    r = spark.sql("SELECT hamming64(-1, 0) AS h, verdict(NULL) AS v, auroc_null_sd(1, 0) AS s, seeded_uniform('a', 'b') AS u").first()
+    assert (r["h"], r["v"], r["s"]) == (64, "unable", None) and 0 <= r["u"] < 1
+    assert r["u"] == spark.range(1).select(hashing.uniform("a", "b").alias("u")).first()["u"]
+    images.synthetic(spark, 2, 32).createOrReplaceTempView("pictures")
+    got = {x["id"]: x["p"] for x in spark.sql("SELECT id, raster_phash(height, width, data) AS p FROM pictures").collect()}
+    assert got["item-000001"] == rasters.phash(rasters.synthetic_raster(1, 32))
+
+
+def test_differences_and_uploads(spark):
+    a = spark.createDataFrame([(1,), (1,), (2,)], "x int")
+    assert sorted(map(tuple, metrics.differences(a, spark.createDataFrame([(1,), (3,)], "x int")).collect())) == [(1, "first"), (2, "first"), (3, "second")]
+    assert metrics.differences(a, a.repartition(3)).count() == 0
+    files = spark.createDataFrame([(0, "a.JPG", 5), (1, "a.JPG", 5), (2, "b.txt", 1), (3, "c.png", 30 * 2**20), (4, "d.png", 1)], "pos int, name string, size long")
+    assert [(r["pos"], r["problem"]) for r in ingest.upload_list(files, ("jpg", "png"), 2).collect()] == [(0, None), (3, "too large")]
+    assert hashing.config_hash({"a": 1, "b": 2}) == hashing.config_hash({"b": 2, "a": 1}) != hashing.config_hash({"a": 2, "b": 1})
