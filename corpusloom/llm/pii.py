@@ -17,7 +17,7 @@ ROUNDS = 10
 #: What is looked for, by kind: candidates; those of them that are valid are replaced.
 PATTERNS = {
     "email": r"(?<![\w.+%-])[A-Za-z0-9_][\w.+%-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}(?![\w-])",
-    "secret": r"(?i:(?<=(?:token|secret|key|password) {0,3}[=:] {0,3}\"?))[0-9a-f]{32,64}(?![0-9A-Za-z])",
+    "secret": r"(?i:(?<=(?:token|secret|key|password) {0,3}[=:] {0,3}\"?))[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
     "phone": r"\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<![\w.+-])\(\d{3}\) ?\d{3}-\d{4}(?!\d)|(?<![\w.+-])\d{3}-\d{3}-\d{4}(?![\w-])",
     "ssn": r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "date": r"(?<![\w.+-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w./+-])\d{1,2}/\d{1,2}/\d{4}(?![\w/])",
@@ -33,7 +33,7 @@ AREAS_GROUPS, SERIALS = 898 * 99, 9999
 #: All kinds in one pass; at one place the first kind that matches counts.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A cheap test that every candidate meets.
-HINT = r"\d{4}|\d\.\d|@|[0-9a-f]{32}"
+HINT = r"\d{4}|\d\.\d|@|[0-9A-Fa-f]{32}"
 
 
 def _digest(key: str, kind: Column, n: int, other: Column, i: Column) -> Column:
@@ -147,9 +147,11 @@ def _email(v: Column, key: str) -> Column:
 
 
 def _secret(v: Column, key: str) -> Column:
+    """Hexadecimal digits; capitals stay capitals, and the same value in either case has the same pseudonym."""
     codes = F.transform(_chars(v), lambda c: F.conv(c, 16, 10).cast("bigint"))
     fresh = feistel(codes, F.transform(codes, lambda _: F.lit(16).cast("bigint")), key, F.lit("secret"))
-    return F.array_join(F.transform(fresh, lambda x: F.lower(F.hex(x))), "")
+    made = F.array_join(F.transform(fresh, lambda x: F.lower(F.hex(x))), "")
+    return F.when(v.rlike("[A-F]"), F.upper(made)).otherwise(made)
 
 
 KINDS = {"email": _email, "secret": _secret, "phone": _phone, "ssn": _ssn, "date": _date, "ipv4": _ipv4, "card": _card}

@@ -200,6 +200,10 @@ def test_valid_values_only_and_links(spark):
     assert got[2]["pii"][0]["pseudonym"] == iso != "1999-12-31" and us == f"{iso[5:7]}/{iso[8:]}/{iso[:4]}"
     assert got[5]["text"].endswith("@Example.org x@y") and "a.b+c" not in got[5]["text"]
     assert len(got[6]["pii"]) == 1 and got[6]["text"].endswith(" 0123456789abcdef0123456789abcdef")
+    loud = pseudonyms(spark, [texts[6].upper(), "WRITE.TO@ME.ORG write.to@me.org"])
+    assert loud[0]["pii"][0]["pseudonym"] == got[6]["pii"][0]["pseudonym"].upper()
+    a, b = (x["pseudonym"] for x in loud[1]["pii"])
+    assert a == b.upper() != "WRITE.TO@ME.ORG"
 
 
 def test_permutations_are_one_to_one(spark):
