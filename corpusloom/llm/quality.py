@@ -188,10 +188,11 @@ def sql_verdicts(stats: str, params: str) -> str:
     """Each document's verdict by the first of its groups with enough documents; without any, all are kept."""
     xs = ", ".join(f"CASE WHEN {BASE_FAILED} THEN 0 ELSE CAST(floor({UNIT} * ({f}) + 0.5e0) AS BIGINT) END AS x{j}" for j, f in enumerate(FEATURES))
     cut = chi2_quantile(CUT, P) * consistency()
+    groups = " UNION ALL ".join(f"SELECT lang, source, {level} AS level, {g} AS g FROM n" for level, g in enumerate(("'0' || lang || chr(10) || source", "'1' || lang", "'2'")))
     picked = (
-        "SELECT k.lang, k.source, CASE WHEN a.total >= {n} THEN a.g WHEN b.total >= {n} THEN b.g WHEN c.total >= {n} THEN c.g END AS g "
-        "FROM (SELECT DISTINCT lang, source FROM {stats}) k LEFT JOIN {p} a ON a.g = '0' || k.lang || chr(10) || k.source LEFT JOIN {p} b ON b.g = '1' || k.lang LEFT JOIN {p} c ON c.g = '2'"
-    ).format(n=LEAST_DOCS, stats=stats, p=params)
+        f"SELECT lang, source, g FROM (SELECT c.*, row_number() OVER (PARTITION BY lang, source ORDER BY level) AS r FROM (WITH n AS (SELECT DISTINCT lang, source FROM {stats}) {groups}) c "
+        f"JOIN {params} p ON p.g = c.g WHERE p.total >= {LEAST_DOCS}) WHERE r = 1"
+    )
     return f"WITH k AS ({picked}), f AS (SELECT k.lang, k.source, p.* FROM k JOIN {params} p ON p.g = k.g)", (
         "SELECT x.doc_id, x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed, "
         f"NOT x.base_failed AND (p.g IS NULL OR {distance('x', 'p')} <= {cut!r}e0) AS kept "
