@@ -24,8 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one with the smallest id; rows with a null id stay."""
-    found = jaccard.jaccard_components(docs)
+    """One document of each component, the one with the smallest id; rows with a null id stay.
+
+    Documents link where sets of five-word shingles have a similarity of 0.8 or more.
+    """
+    found = jaccard.jaccard_components(docs, size=5, part=80)
     first = found.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.filter("doc_id IS NULL")).select(docs.columns)

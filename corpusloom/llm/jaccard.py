@@ -11,8 +11,8 @@ only that are not in their component yet, and only if the sets' parity bitmaps a
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +22,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import save
+from .common import save, small_enough
 
 U = np.uint64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words that a worker remembers the hashes of.
 KNOWN_WORDS = 150_000
-#: Hash classes may be empty, which says nothing; a set with empty ones is classed anew, up to so many times.
+#: Hash classes may be empty, which says nothing; a set with too many empty ones is dealt anew, so often at most.
 DEALS = 8
 #: Rounds of comparison with hubs before all members of different components are compared.
 HUB_ROUNDS = 2
+#: Parity bitmaps have so many words of 64 bits: sets differ in at least as many elements as their bitmaps in bits.
+BITMAP = 16
+BITS = [f"b{k}" for k in range(BITMAP)]
+#: Up to so many ids are broadcast to the texts; more meet them in a shuffle.
+SMALL_IDS = 2_000_000
+#: Up to so many nodes' sizes and folded bitmaps, of 48 bytes each, are broadcast to pairs.
+SMALL_BITMAPS = 500_000
 
 
 class Threshold:
@@ -67,7 +74,7 @@ class Threshold:
         n = 1
         while True:
             m = n + 1
-            subsets = sum(comb(m, c) for c in self.subset_sizes(m))
+            subsets = sum(math.comb(m, c) for c in self.subset_sizes(m))
             if subsets > 2 * (self.differ(m, self.partners(m)[-1]) + 1) + m:
                 return n
             n = m
@@ -113,6 +120,7 @@ class _Signer:
     def __init__(self, threshold: Threshold):
         self.t, self.small = threshold, threshold.boundary()
         self.classes: list[tuple[int, int]] = []
+        self.deals: dict[int, tuple[int, int, int]] = {}
         #: From this size on, sets may have a partner over the boundary, and are in lists.
         self.listed = threshold.partners(self.small + 1)[0]
 
@@ -121,14 +129,40 @@ class _Signer:
             self.classes = self.t.classes(2 * n + 2)
         return next(i for i, (_, b) in enumerate(self.classes) if n <= b) if n < 64 else int(np.searchsorted([b for _, b in self.classes], n))
 
+    def deal(self, c: int) -> tuple[int, int, int]:
+        """(hash classes, elements that say too little, classes of so few that do no harm) for lists of a size class.
+
+        With D + 1 + e classes, two linked sets agree in e + 1 of them: in one that says enough, unless both have more
+        than e others. More classes are more entries, fewer mean that more sets are dealt anew: the least of both. A
+        single shingle says too little, as a passage brings it to many sets, unless that makes half as many more entries.
+        """
+        if c not in self.deals:
+            lo, b = self.classes[c]
+            d = self.t.differ(b, self.t.whole * b // self.t.part)
+            found = []
+            for few in (0, 1):
+                best = None
+                for e in range(d + 10):
+                    k = d + 1 + e
+                    rate = k * math.exp(-lo / k) * (1 + few * lo / k)
+                    term = fewer = math.exp(-rate)
+                    for i in range(1, e + 1):
+                        term *= rate / i
+                        fewer += term
+                    cost = k / max(fewer, 1e-9)
+                    if best is None or cost < best[0]:
+                        best = (cost, k, few, e)
+                found.append(best)
+            self.deals[c] = (found[1] if found[1][0] <= 1.5 * found[0][0] else found[0])[1:]
+        return self.deals[c]
+
     def lists(self, h: np.ndarray) -> np.ndarray:
         """Keys of the lists that a set is in: of its own size class, and of the class before as a larger partner."""
         own, out = self.class_of(len(h)), []
         for c in (own, own - 1):
             if c < 0:
                 continue
-            b, bigger = self.classes[c][1], self.t.whole * self.classes[c][1] // self.t.part
-            k = self.t.differ(b, bigger) + 1
+            k, few, harmless = self.deal(c)
             for deal in range(DEALS):
                 tag = U((c * DEALS + deal + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))
                 g = mix(h + tag)
@@ -136,13 +170,13 @@ class _Signer:
                 order = np.argsort(at, kind="stable")
                 at = at[order]
                 starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                sums = np.add.reduceat(mix(g[order]), starts)
-                out.append(mix(sums * U(0x9E3779B97F4A7C15) + at[starts] + tag))
-                if len(starts) == k:
+                keys = mix(np.add.reduceat(mix(g[order]), starts) * U(0x9E3779B97F4A7C15) + at[starts] + tag)
+                enough = np.diff(np.append(starts, len(at))) > few
+                out.append(keys[enough])
+                if k - int(enough.sum()) <= harmless:
                     break
-            else:
-                empty = np.setdiff1d(np.arange(k, dtype=np.uint64), at)
-                out.append(mix(empty + tag))
+            else:  # at last, all count
+                out += [keys[~enough], mix(np.setdiff1d(np.arange(k, dtype=np.uint64), at) + tag)]
         return np.concatenate(out)
 
     def subsets(self, h: np.ndarray) -> list[tuple[int, int]]:
@@ -155,33 +189,51 @@ class _Signer:
         return out
 
 
-def signatures(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """Per row: id, n, the set's fingerprint f1 and f2, parity bitmap b0 to b3, list keys, subset sizes and keys."""
+def facts(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+    """Per row: id, n, the set's fingerprint f1 and f2, parity bitmap b0 to b15, subset sizes and keys of small sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         signer = _Signer(threshold)
+        flat = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, f1, f2, bits, lists, subs = [], [], [], [], [], []
+                n, f1, f2, bits, subs = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     h = shingles(text, size)
                     n.append(len(h))
                     f1.append(mix(h).sum(dtype=np.uint64))
                     f2.append(mix(h ^ U(0xD1B54A32D192ED03)).sum(dtype=np.uint64))
-                    bits.append(np.packbits((np.bincount((h & U(255)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64))
-                    lists.append(signer.lists(h).view(np.int64) if len(h) >= signer.listed else np.zeros(0, np.int64))
+                    bits.append(np.packbits((np.bincount((h & U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64))
                     subs.append(signer.subsets(h) if 0 < len(h) <= signer.small else [])
-                b = np.array(bits).reshape(-1, 4)
-                flat = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
+                b = np.array(bits).reshape(-1, BITMAP)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), *(pa.array(b[:, k]) for k in range(4)), flat(lists)]
+                    [part.column("id"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), *(pa.array(b[:, k]) for k in range(BITMAP))]
                     + [flat([np.array([c for c, _ in s], np.int64) for s in subs]), flat([np.array([k for _, k in s], np.uint64).view(np.int64) for s in subs])],
-                    ["id", "n", "f1", "f2", "b0", "b1", "b2", "b3", "lists", "sub_sizes", "subs"],
+                    ["id", "n", "f1", "f2", *BITS, "sub_sizes", "subs"],
                 )
 
-    ddl = "id bigint, n bigint, f1 bigint, f2 bigint, b0 bigint, b1 bigint, b2 bigint, b3 bigint, lists array<bigint>, sub_sizes array<bigint>, subs array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").mapInArrow(run, ddl)
+    ddl = f"id bigint, n bigint, f1 bigint, f2 bigint, {', '.join(f'{b} bigint' for b in BITS)}, sub_sizes array<bigint>, subs array<bigint>"
+    return docs.mapInArrow(run, ddl)
+
+
+def _entries(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
+    """(key, id): the lists that each large enough set is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signer = _Signer(threshold)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
+                    h = shingles(text, size)
+                    if len(h) >= signer.listed:
+                        keys.append(np.unique(signer.lists(h)).view(np.int64))
+                        ids.append(np.full(len(keys[-1]), i))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+
+    return docs.mapInArrow(run, "key bigint, id bigint")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -195,7 +247,7 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
 
 
-def jaccard_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole: int = 100) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id): a row per document; documents link where the Jaccard similarity of their
     sets of word shingles is at least part / whole, and component_id is the smallest doc_id that links reach.
 
@@ -205,10 +257,11 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     are ignored.
     """
     t = Threshold(part, whole)
-    rows = save(signatures(docs, size, t), "jaccard-signatures")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    rows = save(facts(texts, size, t), "jaccard-facts")
     known = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
     # equal sets are one node, named by the smallest id
-    nodes = save(known.groupBy("f1", "f2", "n").agg(F.min(F.struct("id", *[f"b{k}" for k in range(4)])).alias("x")).select("f1", "f2", "n", F.col("x.id").alias("node"), *[F.col(f"x.b{k}").alias(f"b{k}") for k in range(4)]), "jaccard-nodes")
+    nodes = save(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), *[F.first(b).alias(b) for b in BITS]), "jaccard-nodes")
     named = nodes.select("f1", "f2", "n", F.col("node").alias("id"))
     keyed = known.join(named, ["f1", "f2", "n", "id"], "left_semi")  # one row a node, but for repeated rows
 
@@ -219,38 +272,50 @@ def jaccard_components(docs: DataFrame, *, size: int = 3, part: int = 90, whole:
     small = subs.withColumn("hub", hub).filter((F.col("hub.id") != F.col("id")) & (F.col("c") * (part + whole) >= (F.col("hub.n") + F.col("n")) * part)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
     links = save(small.distinct(), "jaccard-small")
 
-    # large sets: lists with two members at least
-    entries = keyed.select("id", F.explode("lists").alias("key")).withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").select("key", "id")
+    # large sets: lists with two members at least; ids are few bytes, texts many
+    texts_of = lambda ids: texts.join(small_enough(ids, SMALL_IDS), "id", "left_semi")
+    every = _entries(texts_of(nodes.select(F.col("node").alias("id"))), size, t)
+    entries = every.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").select("key", "id")
     entries = save(entries.distinct(), "jaccard-lists")
-    members = entries.select("id").distinct()
-    sets = save(_sets(docs.select(F.col("doc_id").cast("bigint").alias("id"), "text").join(members, "id", "left_semi"), size), "jaccard-sets")
-    about = nodes.select(F.col("node").alias("id"), "n", *[f"b{k}" for k in range(4)])
+    about = nodes.select(F.col("node").alias("id"), "n", *BITS)
+    # a bitmap of a quarter's length, by parity of its words' bits, leaves most pairs out at less cost
+    folded = about.select("id", "n", *[F.col(f"b{k}").bitwiseXOR(F.col(f"b{k + 4}")).bitwiseXOR(F.col(f"b{k + 8}")).bitwiseXOR(F.col(f"b{k + 12}")).alias(f"b{k}") for k in range(4)])
+    folded = small_enough(save(folded, "jaccard-bitmaps"), SMALL_BITMAPS)
 
-    def may_link(a: str, b: str) -> Column:
+    def may_link(a: str, b: str, bits: list[str]) -> Column:
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        apart = sum((F.bit_count(F.col(f"{a}.b{k}").bitwiseXOR(F.col(f"{b}.b{k}"))) for k in range(4)), F.lit(0))
+        apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits), F.lit(0))
         return (n * whole >= m * part) & (m * whole >= n * part) & (apart * (whole + part) <= (n + m) * (whole - part))
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link, by their sets."""
+        """Those of the pairs (a, b) that link, by their sets; only texts of these pairs are taken apart again."""
+        pairs = save(pairs, "jaccard-pairs")
+        ids = save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
+        sets = save(_sets(texts_of(ids), size), "jaccard-sets")
         left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
         both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
         return both.filter(F.col("o") * whole >= (F.size("x") + F.size("y") - F.col("o")) * part).select("a", "b")
 
-    facts = lambda df, c: df.join(about.select(F.col("id").alias(c), F.struct("n", *[f"b{k}" for k in range(4)]).alias(f"_{c}")), c)
+    def with_facts(pairs: DataFrame, facts: DataFrame, bits: list[str]) -> DataFrame:
+        for c in ("a", "b"):
+            pairs = pairs.join(facts.select(F.col("id").alias(c), F.struct("n", *bits).alias(f"_{c}")), c)
+        return pairs.filter(may_link("_a", "_b", bits)).select("a", "b")
+
+    likely = lambda pairs: with_facts(with_facts(pairs, folded, BITS[:4]), about, BITS)
     for turn in range(HUB_ROUNDS):
-        first = F.min(F.struct(F.xxhash64(F.lit(turn), "id"), "id")).over(Window.partitionBy("key"))
-        pairs = entries.select(first["id"].alias("a"), F.col("id").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        likely = facts(facts(pairs, "a"), "b").filter(may_link("_a", "_b")).select("a", "b")
-        links = save(links.unionByName(checked(likely)), "jaccard-links")
+        # members and the hub of a list, but for those that are in one component already
+        placed = entries.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "component")).over(Window.partitionBy("key"))
+        pairs = placed.withColumn("hub", hub).filter("hub.component <> component").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
+        links = save(links.unionByName(checked(likely(pairs))), "jaccard-links")
     # the rest: members of one list that are in different components so far
     labels = components(links)
     placed = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = save(placed.join(several, "key", "left_semi").join(about, "id"), "jaccard-placed")
+    placed = save(placed.join(several, "key", "left_semi").join(folded, "id"), "jaccard-placed")
     a, b = placed.alias("p"), placed.alias("q")
-    rest = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & may_link("p", "q")).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    more = save(checked(rest), "jaccard-links")
+    rest = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & may_link("p", "q", BITS[:4])).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    more = save(checked(likely(rest)), "jaccard-links")
     labels = save(components(links.unionByName(more)), "jaccard-components")
 
     of = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id"))

@@ -141,7 +141,7 @@ def test_repeats_over_tiles(spark, monkeypatch):
     starts = ends - [len((t or "").encode()) for t in texts]
     ok = ends > starts
     small = suffixes.anchors(data, starts[ok], ends[ok], 200)
-    monkeypatch.setattr(suffixes, "TILE", 1 << 19)
+    monkeypatch.setattr(suffixes, "TILE", 1 << 18)
     for a, b in zip(small, suffixes.anchors(data, starts[ok], ends[ok], 200)):
         assert (a == b).all()
     got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(df, 200, digest=True).collect()}
@@ -235,16 +235,19 @@ def near_docs(seed, n=8):
 def test_components_by_brute_force(spark, seed):
     docs = near_docs(seed) + [(9000, None), (9001, ""), (9002, " \n"), (9003, "ÉÉ é x y"), (9004, "éé é x y")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, size=3, part=90).collect()}
     want = brute_components(docs)
     assert got == want
     assert len({c for _, c in want.values()}) not in (1, len(docs))
 
 
-def test_other_thresholds_and_sizes(spark):
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_other_thresholds_and_sizes(spark, broadcast, monkeypatch):
+    if not broadcast:
+        monkeypatch.setattr(jaccard, "SMALL_IDS", 0)
     docs = near_docs(5, 5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, size=5, part=80).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()}
     assert got == brute_components(docs, 80, 100, 5)
 
 
@@ -263,7 +266,7 @@ def test_threshold_arithmetic():
 
 
 def test_jaccard_odd_rows(spark):
-    rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, ODD, CLASHES)).collect()}
+    rows = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(frame(spark, ODD, CLASHES), size=3, part=90).collect()}
     assert {(1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 1, 4), (5, 1, 5), (6, 1, 5)} <= rows
     assert jaccard.jaccard_components(frame(spark, ODD)).count() == len(ODD)
     assert jaccard.jaccard_components(frame(spark, EMPTY)).count() == 0
@@ -285,7 +288,7 @@ def test_pipeline_stages_by_brute_force(spark):
     keep = {i for i, (lang, score) in zip(rows, langid.label(model, [r["text"] for r in rows.values()])) if lang != "und" and score >= p.LEAST_SHARE}
     assert {r["doc_id"] for r in one.collect()} == keep and len(keep) > 0.95 * len(rows)
     two = p.near_duplicates(spark, one, DATA).cache()
-    want = {i for i, (n, c) in brute_components([(i, rows[i]["text"]) for i in keep]).items() if c == i}
+    want = {i for i, (n, c) in brute_components([(i, rows[i]["text"]) for i in keep], 80, 100, 5).items() if c == i}
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(want)
     three = p.personal_data(spark, two, DATA).cache()
     assert three.columns == docs.columns and three.count() == two.count()
