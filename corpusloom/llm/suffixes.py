@@ -19,14 +19,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import save
 
 #: Bytes hashed for an anchor, and how many places compete.
 GRAM, PLACES = 8, 192
 #: Bytes that are searched for anchors at once.
-TILE = 1 << 19
+TILE = 1 << 18
 #: A group of more contexts is counted string by string over all workers, rather than sorted by one.
 LARGE_GROUP = 20_000
 #: Contexts that a worker sorts out together.
@@ -255,10 +254,16 @@ def repeated_runs(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFr
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2"))
     long = keyed.filter(F.octet_length("text") >= length)
     several = long.groupBy("k1", "k2").agg(F.count("*").alias("m")).filter("m > 1").select("k1", "k2", F.lit(True).alias("whole"))
-    shared = F.count("*").over(Window.partitionBy("f"))
     rows = long.select("k1", "k2", "text").mapInArrow(_anchor_rows(length), "f bigint, k1 bigint, k2 bigint, a int, lo int, hi int")
+
+    def shared(rows: DataFrame) -> DataFrame:
+        """Rows whose f is not theirs alone. Counts are summed before they are shuffled; the shared ones are written, so
+        that both sides of the join come from a shuffle alone, and Spark may split those of a frequent f."""
+        several = save(rows.groupBy("f").agg(F.count("*").alias("m")).filter("m > 1").select("f"), "suffix-shared-keys")
+        return rows.join(several, "f", "left_semi")
+
     # equal texts' anchors go with the first selection as well, and are one in the second
-    rows = save(rows.withColumn("m", shared).filter("m > 1").drop("m"), "suffix-anchors").distinct().withColumn("m", shared).filter("m > 1").drop("m")
+    rows = shared(save(save(shared(rows), "suffix-shared").distinct(), "suffix-anchors"))
     found = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("f", "a", "lo", "hi")).alias("found"))  # one text's anchors
     texts = long.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     cut = texts.join(found, ["k1", "k2"]).mapInArrow(_contexts(length), "f bigint, left binary, right binary, lo int, hi int, k1 bigint, k2 bigint, a int")
