@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..operators.storage import save, scratch_dir, small_enough
 
-__all__ = ["GAP", "WORD", "n_words", "save", "scratch_dir", "small_enough", "words"]
+__all__ = ["GAP", "WORD", "n_words", "save", "scratch_dir", "small_enough", "tidy", "words"]
 
 #: Words are runs of anything but ASCII white space (fixed by the queries' contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -21,3 +25,13 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     return F.size(words(text)).cast("bigint")
+
+
+def tidy() -> None:
+    """At a Python task's end: what it freed goes back to the system, for workers stay while others work."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        return

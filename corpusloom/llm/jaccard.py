@@ -22,12 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import save, small_enough
+from .common import save, small_enough, tidy
 
 U = np.uint64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words that a worker remembers the hashes of.
-KNOWN_WORDS = 150_000
+KNOWN_WORDS = 60_000
 #: Hash classes may be empty, which says nothing; a set with too many empty ones is dealt anew, so often at most.
 DEALS = 8
 #: Rounds of comparison with hubs before all members of different components are compared.
@@ -212,6 +212,8 @@ def facts(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
                     + [flat([np.array([c for c, _ in s], np.int64) for s in subs]), flat([np.array([k for _, k in s], np.uint64).view(np.int64) for s in subs])],
                     ["id", "n", "f1", "f2", *BITS, "sub_sizes", "subs"],
                 )
+        _hashes.clear()
+        tidy()
 
     ddl = f"id bigint, n bigint, f1 bigint, f2 bigint, {', '.join(f'{b} bigint' for b in BITS)}, sub_sizes array<bigint>, subs array<bigint>"
     return docs.mapInArrow(run, ddl)
@@ -232,6 +234,8 @@ def _entries(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
                         keys.append(np.unique(signer.lists(h)).view(np.int64))
                         ids.append(np.full(len(keys[-1]), i))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
+        _hashes.clear()
+        tidy()
 
     return docs.mapInArrow(run, "key bigint, id bigint")
 
@@ -243,6 +247,8 @@ def _sets(docs: DataFrame, size: int) -> DataFrame:
                 part = batch.slice(at, 500)
                 own = [shingles(x, size).view(np.int64) for x in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "hashes"])
+        _hashes.clear()
+        tidy()
 
     return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
 

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tidy
+
 #: First and last code points of scripts; letters elsewhere are of the script "other".
 SCRIPTS = {
     "latin": [(0x41, 0x5A), (0x61, 0x7A), (0xAA, 0xAA), (0xBA, 0xBA), (0xC0, 0x24F), (0x1E00, 0x1EFF), (0x2C60, 0x2C7F), (0xA720, 0xA7FF), (0xFF21, 0xFF5A)],
@@ -244,6 +246,8 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame
             if spans:
                 out["spans"] = [[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows]
             yield pd.DataFrame(out)
+        model.index, model.rows = {}, model.rows[:0]
+        tidy()
 
     made = docs.withColumn("_lang", run("text"))
     names = ["lang_pred", "score"] + ["spans"] * spans
