@@ -44,6 +44,7 @@ SENTENCES = {
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "Copyright holders reserve all rights",
+    "reserved-line": "All rights reserved",
 }
 #: Rules in order: licence, whether it lets anyone use the text for any purpose, sentences in order.
 RULES = [
@@ -72,9 +73,10 @@ RULES = [
     ("MPL-2.0", False, ["mpl2-form"]),
     ("Unlicense", True, ["unlicense"]),
     ("all-rights-reserved", False, ["reserved"]),
+    ("all-rights-reserved", False, ["reserved-line"]),
 ]
 #: Every known sentence has one of these; other texts aren't parted at all.
-HINT = "licen[sc]e|copyright|redistribut|warranty|permission|public domain"
+HINT = "licen[sc]e|copyright|redistribut|warranty|permission|public domain|reserve"
 SPACE = r"[ \t\n\x0B\f\r]"
 SEP = "\x01"
 

@@ -245,6 +245,21 @@ def test_licence_rules(spark):
     assert licences.scan(frame(spark, ODD, CLASHES)).count() == len(ODD) and licences.scan(frame(spark, EMPTY)).count() == 0
 
 
+def scanned(spark, texts):
+    rows = licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return [(r["licences"], r["n_licences"], r["open_use"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_reserved_rights(spark):
+    texts = ["Prose before it\nAll rights reserved.", "Copyright 2020 A. Writer. All\nrights reserved.", "Released under the MIT License.\nAll rights reserved.", "All rights are reserved for members."]
+    assert scanned(spark, texts) == [("all-rights-reserved", 1, False), ("all-rights-reserved", 1, False), ("MIT,all-rights-reserved", 2, False), ("", 0, False)]
+
+
+def test_every_rule_by_its_sentences(spark):
+    got = scanned(spark, [".\n".join(licences.SENTENCES[s] for s in ss) + "." for _, _, ss in licences.RULES if ss != ["mpl2-form"]])
+    assert got == [(name, 1, free) for name, free, ss in licences.RULES if ss != ["mpl2-form"]]
+
+
 def test_every_sentence_has_a_hint():
     import re
 
