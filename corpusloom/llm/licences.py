@@ -2,7 +2,7 @@
 
 A text's sentences, normalised, are looked up among the known licence sentences. The sequence of identifiers found
 is matched against the licence rules in their order; a rule takes the sentences that it matches, so that a licence's
-full text isn't found again by its notice.
+full text isn't found again by its notice. A known sentence that the parting of texts cuts is known by its pieces, too.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences by identifier.
+#: Known licence sentences by identifier, punctuated so that they are cut as in the usual notices.
 SENTENCES = {
     "apache-licensed": "Licensed under the Apache License, Version 2.0",
     "apache-licensed-the-license": 'Licensed under the Apache License, Version 2.0 (the "License")',
     "apache-compliance": "you may not use this file except in compliance with the License",
-    "apache-obtain": "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+    "apache-obtain": "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0",
     "apache-as-is": 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',
     "apache-permissions": "See the License for the specific language governing permissions and limitations under the License",
     "mit-released": "Released under the MIT License",
@@ -29,13 +29,14 @@ SENTENCES = {
     "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT',
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "bsd-conditions": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-conditions-reserved": "All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-endorse": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd-licensed": "Licensed under the BSD License",
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3",
-    "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version",
+    "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "cc-by-nc-4": "Licensed under CC BY-NC 4.0",
     "cc-by-4": "Licensed under CC BY 4.0",
@@ -54,6 +55,8 @@ RULES = [
     ("MIT", True, ["mit-title-short", "mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", True, ["mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", True, ["mit-grant", "mit-notice"]),
+    ("BSD-3-Clause", True, ["bsd-conditions-reserved", "bsd-source", "bsd-binary", "bsd-endorse"]),
+    ("BSD-2-Clause", True, ["bsd-conditions-reserved", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", True, ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", True, ["bsd-conditions", "bsd-source", "bsd-binary"]),
     ("GPL-3.0-or-later", False, ["gpl3-terms", "gpl-warranty"]),
@@ -86,12 +89,25 @@ def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def pieces(sentence: str) -> list[str]:
+    """The normalised pieces that a text's parting makes of a sentence."""
+    return [normalise(s) for s in re.split(rf"[.;:!?]{SPACE}+|\n{SPACE}*\n", sentence)]
+
+
 KNOWN = {normalise(s): k for k, s in SENTENCES.items()}
+# a piece that is known already, or belongs to two sentences, keeps its first identifier
+for _k, _s in SENTENCES.items():
+    for _n, _piece in enumerate(pieces(_s) if len(pieces(_s)) > 1 else [], 1):
+        KNOWN.setdefault(_piece, f"{_k}-{_n}")
 
 
 def rule_pattern(sentences: list[str]) -> str:
-    """Finds the identifiers in order in a string like "a b c ", others between them left in groups."""
-    return "(^| )" + "((?:[a-z0-9-]+ )*?)".join(f"{s} " for s in sentences)
+    """Finds the identifiers in order in a string like "a b c ", others between them left in groups.
+
+    A sentence that is cut stands as a whole, or as all its pieces with nothing between them.
+    """
+    cut = {s: " ".join(KNOWN[x] for x in pieces(SENTENCES[s])) for s in sentences}
+    return "(^| )" + "((?:[a-z0-9-]+ )*?)".join(f"{s} " if cut[s] == s else f"(?:{s}|{cut[s]}) " for s in sentences)
 
 
 def _identifiers(text: Column) -> Column:
@@ -107,10 +123,10 @@ def _identifiers(text: Column) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, sentence_ids, licences, n_licences, open_use): a row per document.
 
-    sentence_ids: the known sentences in text order, parted by spaces; licences: what the rules find, each once, in
-    the order of the rules, parted by commas; open_use: at least one, and all of them, let anyone use the text. Null
-    texts and those without known sentences have empty strings. Repeated rows count each; an empty table gives none;
-    other columns are ignored.
+    sentence_ids: the known sentences, or pieces of those that are cut, in text order, parted by spaces; licences: what
+    the rules find, each once, in the order of the rules, parted by commas; open_use: at least one, and all of them, let
+    anyone use the text. Null texts and those without known sentences have empty strings. Repeated rows count each; an
+    empty table gives none; other columns are ignored.
     """
     text = F.col("text")
     found = docs.select("doc_id", F.when(F.lower(text).rlike(HINT), F.array_join(_identifiers(text), " ")).alias("ids"))
