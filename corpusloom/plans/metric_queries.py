@@ -184,7 +184,8 @@ def scores_wide(spark: Session, d: str) -> DataFrame:
     return wide.select("id", *[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
 
 
-REPLICATES = 20
+#: As many as the reference takes: for the grid, and for pairs and spreads.
+REPLICATES, PAIRED_REPLICATES = 800, 2000
 
 
 def _draws_sql(strata: str, name: str, seed: int = 0, replicates: int = REPLICATES) -> str:
@@ -197,10 +198,11 @@ def _draws_sql(strata: str, name: str, seed: int = 0, replicates: int = REPLICAT
     )
 
 
-_BOOT = f"{_draws_sql('label', 'draws')}, sw AS (SELECT s.*, d.b, d.w FROM scores s JOIN draws d ON d.id = s.id), {roc_sql('sw', 'b, cell, family', 'w')}, t AS (SELECT b, cell, family, {tpr_sql(0.05)} AS tpr FROM roc GROUP BY b, cell, family)"
+def _boot_sql(replicates: int) -> str:
+    return f"{_draws_sql('label', 'draws', replicates=replicates)}, sw AS (SELECT s.*, d.b, d.w FROM scores s JOIN draws d ON d.id = s.id), {roc_sql('sw', 'b, cell, family', 'w')}, t AS (SELECT b, cell, family, {tpr_sql(0.05)} AS tpr FROM roc GROUP BY b, cell, family)"
 
 
-@query(f"WITH {SCORES}, {_BOOT} SELECT cell, round(quantile_cont(tpr, 0.5), 6) AS median, round(quantile_cont(tpr, 0.025), 6) AS lo, round(quantile_cont(tpr, 0.975), 6) AS hi FROM t GROUP BY cell")
+@query(f"WITH {SCORES}, {_boot_sql(REPLICATES)} SELECT cell, round(quantile_cont(tpr, 0.5), 6) AS median, round(quantile_cont(tpr, 0.025), 6) AS lo, round(quantile_cont(tpr, 0.975), 6) AS hi FROM t GROUP BY cell")
 def bootstrap_ci(spark: Session, d: str) -> DataFrame:
     drawn = bootstrap.draws(items(spark, d), ["label"], REPLICATES)
     t = bootstrap.replicate_tpr(scores(spark, d), drawn, ["cell"], 0.05)
@@ -212,19 +214,19 @@ def _gap_sql(t: str, name: str) -> str:
 
 
 @query(
-    f"WITH {SCORES}, {scores_sql('b', 'scores2')}, {_BOOT}, sw2 AS (SELECT s.*, d.b, d.w FROM scores2 s JOIN draws d ON d.id = s.id), {roc_sql('sw2', 'b, cell, family', 'w', 'roc2')}, t2 AS (SELECT b, cell, family, {tpr_sql(0.05)} AS tpr FROM roc2 GROUP BY b, cell, family), "
+    f"WITH {SCORES}, {scores_sql('b', 'scores2')}, {_boot_sql(PAIRED_REPLICATES)}, sw2 AS (SELECT s.*, d.b, d.w FROM scores2 s JOIN draws d ON d.id = s.id), {roc_sql('sw2', 'b, cell, family', 'w', 'roc2')}, t2 AS (SELECT b, cell, family, {tpr_sql(0.05)} AS tpr FROM roc2 GROUP BY b, cell, family), "
     f"{_gap_sql('t', 'g1')}, {_gap_sql('t2', 'g2')}, q AS (SELECT quantile_cont(g2.gap - g1.gap, 0.5) AS median, quantile_cont(g2.gap - g1.gap, 0.025) AS lo, quantile_cont(g2.gap - g1.gap, 0.975) AS hi FROM g1 JOIN g2 ON g1.b = g2.b) "
     "SELECT round(median, 6) AS median, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo * hi > 0 THEN 'excludes zero' ELSE 'includes zero' END AS verdict FROM q"
 )
 def paired_bootstrap_diff(spark: Session, d: str) -> DataFrame:
-    drawn = bootstrap.draws(items(spark, d), ["label"], REPLICATES)
+    drawn = bootstrap.draws(items(spark, d), ["label"], PAIRED_REPLICATES)
     gaps = lambda run, name: bootstrap.gap(bootstrap.replicate_tpr(scores(spark, d, run), drawn, ["cell", "family"], 0.05), ["b"]).select("b", F.col("gap").alias(name))
     q = gaps("a", "first").join(gaps("b", "second"), "b").agg(*bootstrap.interval(F.col("second") - F.col("first")))
     return rounded(q.withColumn("verdict", bootstrap.excludes_zero(F.col("lo"), F.col("hi"))))
 
 
 @query(
-    f"WITH {SCORES}, items2 AS (SELECT id, CASE WHEN label = 0 THEN 'real' ELSE generator END AS stratum FROM items), {_draws_sql('stratum', 'draws', 0).replace('FROM items)', 'FROM items2)')}, names AS (SELECT DISTINCT generator AS g FROM items WHERE label = 1), "
+    f"WITH {SCORES}, items2 AS (SELECT id, CASE WHEN label = 0 THEN 'real' ELSE generator END AS stratum FROM items), {_draws_sql('stratum', 'draws', 0, PAIRED_REPLICATES).replace('FROM items)', 'FROM items2)')}, names AS (SELECT DISTINCT generator AS g FROM items WHERE label = 1), "
     f"clean AS (SELECT s.id, s.label, s.generator, s.score, d.b, d.w FROM scores s JOIN draws d ON d.id = s.id WHERE s.cell = 'clean'), views AS (SELECT b, label, generator, score, w FROM clean WHERE label = 1 UNION ALL SELECT b, label, n.g, score, w FROM clean CROSS JOIN names n WHERE label = 0), "
     f"{roc_sql('views', 'b, generator', 'w')}, t AS (SELECT b, generator, {tpr_sql(0.05)} AS tpr FROM roc GROUP BY b, generator), s AS (SELECT b, max(tpr) - min(tpr) AS spread FROM t GROUP BY b) "
     "SELECT round(quantile_cont(spread, 0.5), 6) AS median, round(quantile_cont(spread, 0.025), 6) AS lo, round(quantile_cont(spread, 0.975), 6) AS hi FROM s"
@@ -232,7 +234,7 @@ def paired_bootstrap_diff(spark: Session, d: str) -> DataFrame:
 def paired_spread_bootstrap(spark: Session, d: str) -> DataFrame:
     """Negatives are drawn once for all generators, positives for each by itself."""
     its = items(spark, d).withColumn("stratum", F.when(F.col("label") == 0, "real").otherwise(F.col("generator")))
-    drawn = bootstrap.draws(its, ["stratum"], REPLICATES)
+    drawn = bootstrap.draws(its, ["stratum"], PAIRED_REPLICATES)
     views = metrics.per_generator(scores(spark, d).filter("cell = 'clean'").select("id", "label", "generator", "score"))
     t = bootstrap.replicate_tpr(views, drawn, ["generator"], 0.05)
     return rounded(bootstrap.spread(t, ["b"]).agg(*bootstrap.interval("spread")))
