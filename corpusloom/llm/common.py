@@ -6,18 +6,19 @@ import ctypes
 import gc
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.storage import save, scratch_dir, small_enough
 
-__all__ = ["GAP", "WORD", "n_words", "save", "scratch_dir", "small_enough", "tidy", "words"]
+__all__ = ["GAP", "WORD", "n_words", "save", "scratch_dir", "small_enough", "tidy", "unused", "words"]
 
 #: Words are runs of anything but ASCII white space (fixed by the queries' contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 #: What lies between words.
 GAP = r"[\x20\x09-\x0D]+"
 
+
 def words(text: Column) -> Column:
     """The words of a text as an array; empty for null and for texts without words."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
@@ -35,3 +36,15 @@ def tidy() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # not this C library
         return
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df hasn't, whatever its own are called; Spark tells no case apart."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        name = f"_{name}"
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out

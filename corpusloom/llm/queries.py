@@ -45,7 +45,7 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    made = pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), pii.key_of(spark))
     return made.select("doc_id", "text", F.size("pii").cast("bigint").alias("n_pii"))
 
 

@@ -31,7 +31,7 @@ def frame(spark, rows=ODD, extra=()):
     return spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit("mine") for c in extra})
 
 
-CLASHES = ("size", "block", "shard", "ord", "id", "key", "n", "m", "k1", "runs", "component", "token", "pieces", "length", "score", "kept", "target", "rank", "pii", "w", "f")
+CLASHES = ("size", "block", "shard", "ord", "id", "key", "n", "m", "k1", "runs", "component", "token", "pieces", "length", "score", "kept", "target", "rank", "pii", "w", "f", "_found", "_fresh", "_lang", "_id", "_p", "_size", "_nth", "_source", "node", "x", "row")
 
 
 def words(text):
