@@ -1,11 +1,15 @@
 """N-gram Jaccard join by size-aware heavy-light search; components of linked documents, exactly.
 
-Equal sets are one node. Small sets enumerate their subsets of the sizes that a partner has to share: sets with a
-subset in common are linked without a further look. Large sets go through inverted lists. A list is keyed by all
-shingles of a set in one of D + 1 hash classes, D being the most elements in which linked sets of that size differ: two
-linked sets agree in one class at least. Lists by single shingles would be hot for every passage that many
-documents share; these are not. Members of a list are compared with a few hubs of it first, then with those members
-only that are not in their component yet, and only if the sets' parity bitmaps allow a link.
+Equal sets are one node. Small sets enumerate their subsets of the sizes that a partner has to share; sets with a
+subset in common link. Large sets go through inverted lists of single shingles; the boundary between both is chosen
+by cost. The lists of all large sets are built once, and shingles of one set only are dropped. A set's shingles then
+stand in the order of their lists' lengths: two linked sets have one in common among the first few of each, by
+their sizes and the places there, so only these few lists are scanned, and frequent shingles, such as those of a
+passage that many documents share, are scanned for the sets alone that consist of them. A list isn't scanned in
+pairs: its members are compared with one of them, the most central, round after round; what is left are members of
+different components, which are compared if sizes, places, and parity bitmaps allow a link.
+
+Shingles are 64-bit hashes. Sets are told apart by 128 bits and their sizes, in the lists by 64 of them.
 """
 
 from __future__ import annotations
@@ -19,7 +23,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators.components import components
 from .common import save, small_enough, tidy
@@ -28,17 +31,18 @@ U = np.uint64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: Words that a worker remembers the hashes of.
 KNOWN_WORDS = 60_000
-#: Hash classes may be empty, which says nothing; a set with too many empty ones is dealt anew, so often at most.
-DEALS = 8
-#: Rounds of comparison with hubs before all members of different components are compared.
-HUB_ROUNDS = 2
-#: Parity bitmaps have so many words of 64 bits: sets differ in at least as many elements as their bitmaps in bits.
+#: Rounds of comparison with central members before what is left is compared.
+HUB_ROUNDS = 3
+#: Parity bitmaps of shared shingles have so many words of 64 bits: sets differ in as many of them as their bitmaps at least.
 BITMAP = 16
 BITS = [f"b{k}" for k in range(BITMAP)]
-#: Up to so many ids are broadcast to the texts; more meet them in a shuffle.
-SMALL_IDS = 2_000_000
-#: Up to so many nodes' sizes and folded bitmaps, of 48 bytes each, are broadcast to pairs.
-SMALL_BITMAPS = 500_000
+#: Postings that a worker deals to buckets at once; postings of a bucket, about, and buckets at least.
+FLUSH, BUCKET, LEAST_BUCKETS = 1 << 21, 1 << 21, 64
+#: Shingles in more than one of so many documents have lists too hot for one bucket, and are counted apart: at most
+#: HOT_LISTS of them, the most frequent. They are told by counts over so many documents at once.
+HOT_SHARE, HOT_LISTS, HOT_DOCS = 512, 1 << 17, 8192
+#: Up to so many sizes and bitmaps, of 160 bytes each, are broadcast to pairs.
+SMALL_SETS = 100_000
 
 
 class Threshold:
@@ -57,27 +61,20 @@ class Threshold:
     def subset_sizes(self, n: int) -> list[int]:
         return sorted({self.shared(n + k) for k in self.partners(n)})
 
-    def classes(self, most: int) -> list[tuple[int, int]]:
-        """Size classes (from, to) up to that size: partners are in the same class or in the next."""
-        out, lo = [], 1
-        while lo <= most:
-            out.append((lo, self.whole * lo // self.part))
-            lo = out[-1][1] + 1
-        return out
-
-    def differ(self, a: int, b: int) -> int:
-        """The most elements in which linked sets of up to these sizes differ."""
-        return max(0, (a + b) * (self.whole - self.part) // (self.whole + self.part))
+    def scanned(self, n: int) -> int:
+        """The shingles, from the rarest on, whose lists a set of that size scans: any partner has one of them."""
+        return n - self.shared(n + self.partners(n)[0]) + 1
 
     def boundary(self) -> int:
-        """The largest size whose subsets cost no more than its lists' entries and one look at its elements."""
+        """The largest size whose subsets cost no more than a posting of each shingle and the lists to scan."""
         n = 1
-        while True:
-            m = n + 1
-            subsets = sum(math.comb(m, c) for c in self.subset_sizes(m))
-            if subsets > 2 * (self.differ(m, self.partners(m)[-1]) + 1) + m:
-                return n
-            n = m
+        while sum(math.comb(n + 1, c) for c in self.subset_sizes(n + 1)) <= n + 1 + self.scanned(n + 1):
+            n += 1
+        return n
+
+    def listed(self) -> int:
+        """The least size of a set in lists: smaller ones have no partner over the boundary."""
+        return self.partners(self.boundary() + 1)[0]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -116,141 +113,255 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(out)
 
 
-class _Signer:
-    def __init__(self, threshold: Threshold):
-        self.t, self.small = threshold, threshold.boundary()
-        self.classes: list[tuple[int, int]] = []
-        self.deals: dict[int, tuple[int, int, int]] = {}
-        #: From this size on, sets may have a partner over the boundary, and are in lists.
-        self.listed = threshold.partners(self.small + 1)[0]
-
-    def class_of(self, n: int) -> int:
-        while not self.classes or self.classes[-1][1] < n:
-            self.classes = self.t.classes(2 * n + 2)
-        return next(i for i, (_, b) in enumerate(self.classes) if n <= b) if n < 64 else int(np.searchsorted([b for _, b in self.classes], n))
-
-    def deal(self, c: int) -> tuple[int, int, int]:
-        """(hash classes, elements that say too little, classes of so few that do no harm) for lists of a size class.
-
-        With D + 1 + e classes, two linked sets agree in e + 1 of them: in one that says enough, unless both have more
-        than e others. More classes are more entries, fewer mean that more sets are dealt anew: the least of both. A
-        single shingle says too little, as a passage brings it to many sets, unless that makes half as many more entries.
-        """
-        if c not in self.deals:
-            lo, b = self.classes[c]
-            d = self.t.differ(b, self.t.whole * b // self.t.part)
-            found = []
-            for few in (0, 1):
-                best = None
-                for e in range(d + 10):
-                    k = d + 1 + e
-                    rate = k * math.exp(-lo / k) * (1 + few * lo / k)
-                    term = fewer = math.exp(-rate)
-                    for i in range(1, e + 1):
-                        term *= rate / i
-                        fewer += term
-                    cost = k / max(fewer, 1e-9)
-                    if best is None or cost < best[0]:
-                        best = (cost, k, few, e)
-                found.append(best)
-            self.deals[c] = (found[1] if found[1][0] <= 1.5 * found[0][0] else found[0])[1:]
-        return self.deals[c]
-
-    def lists(self, h: np.ndarray) -> np.ndarray:
-        """Keys of the lists that a set is in: of its own size class, and of the class before as a larger partner."""
-        own, out = self.class_of(len(h)), []
-        for c in (own, own - 1):
-            if c < 0:
-                continue
-            k, few, harmless = self.deal(c)
-            for deal in range(DEALS):
-                tag = U((c * DEALS + deal + 1) * 0x632BE59BD9B4E019 & (2**64 - 1))
-                g = mix(h + tag)
-                at = (g >> U(11)) % U(k)
-                order = np.argsort(at, kind="stable")
-                at = at[order]
-                starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-                keys = mix(np.add.reduceat(mix(g[order]), starts) * U(0x9E3779B97F4A7C15) + at[starts] + tag)
-                enough = np.diff(np.append(starts, len(at))) > few
-                out.append(keys[enough])
-                if k - int(enough.sum()) <= harmless:
-                    break
-            else:  # at last, all count
-                out += [keys[~enough], mix(np.setdiff1d(np.arange(k, dtype=np.uint64), at) + tag)]
-        return np.concatenate(out)
-
-    def subsets(self, h: np.ndarray) -> list[tuple[int, int]]:
-        """(size, key) of the subsets of each size that a partner may have to share."""
-        g = [int(x) for x in mix(h + U(0x5851F42D4C957F2D))]
-        total, out = sum(g), []
-        for c in self.t.subset_sizes(len(h)):
-            if c <= len(g):
-                out += [(c, (total - sum(gone)) & (2**64 - 1)) for gone in itertools.combinations(g, len(g) - c)]
-        return out
+def fingerprint(h: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    return mix(h).sum(dtype=np.uint64), mix(h ^ U(0xD1B54A32D192ED03)).sum(dtype=np.uint64)
+
+
+def subsets(h: np.ndarray, threshold: Threshold) -> list[tuple[int, int, int]]:
+    """(size, key, key) of the subsets of each size that a partner may have to share; both keys are 128 bits of it."""
+    f, g = ([int(x) for x in mix(h + U(tag))] for tag in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
+    all_f, all_g, out = sum(f), sum(g), []
+    for c in threshold.subset_sizes(len(h)):
+        if c <= len(h):
+            for gone in itertools.combinations(range(len(h)), len(h) - c):
+                out.append((c, (all_f - sum(f[i] for i in gone)) & (2**64 - 1), (all_g - sum(g[i] for i in gone)) & (2**64 - 1)))
+    return out
+
+
+def _signed(x) -> np.ndarray:
+    return np.array(x, np.uint64).view(np.int64)
 
 
 def facts(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """Per row: id, n, the set's fingerprint f1 and f2, parity bitmap b0 to b15, subset sizes and keys of small sets."""
+    """Per row: id, n, the set's fingerprint f1 and f2, and the subsets of small sets. Besides, with n = -1, shingles
+    f1 that f2 of some thousand documents have, if these are a good part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = _Signer(threshold)
-        flat = lambda xs: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *xs])))
+        small = threshold.boundary()
+        names = ["id", "n", "f1", "f2", "subs"]
+        kind = pa.list_(pa.struct([("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())]))
+        held: list[np.ndarray] = []
+
+        def frequent() -> pa.RecordBatch:
+            """What the documents seen since last time have in common; each has a shingle once."""
+            u, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
+            u, c = (x[c >= max(8, 2 * len(held) // HOT_SHARE)] for x in (u, c))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(np.full(len(u), -1)), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), kind)], names)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, f1, f2, bits, subs = [], [], [], [], []
+                n, f1, f2, subs = [], [], [], []
                 for text in part.column("text").to_pylist():
                     h = shingles(text, size)
                     n.append(len(h))
-                    f1.append(mix(h).sum(dtype=np.uint64))
-                    f2.append(mix(h ^ U(0xD1B54A32D192ED03)).sum(dtype=np.uint64))
-                    bits.append(np.packbits((np.bincount((h & U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64))
-                    subs.append(signer.subsets(h) if 0 < len(h) <= signer.small else [])
-                b = np.array(bits).reshape(-1, BITMAP)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(n, pa.int64()), pa.array(np.array(f1, np.uint64).view(np.int64)), pa.array(np.array(f2, np.uint64).view(np.int64)), *(pa.array(b[:, k]) for k in range(BITMAP))]
-                    + [flat([np.array([c for c, _ in s], np.int64) for s in subs]), flat([np.array([k for _, k in s], np.uint64).view(np.int64) for s in subs])],
-                    ["id", "n", "f1", "f2", *BITS, "sub_sizes", "subs"],
-                )
+                    a, b = fingerprint(h)
+                    f1.append(a)
+                    f2.append(b)
+                    own = subsets(h, threshold) if 0 < len(h) <= small else []
+                    subs.append([{"c": c, "k1": x, "k2": y} for (c, _, _), x, y in zip(own, _signed([x for _, x, _ in own]).tolist(), _signed([y for _, _, y in own]).tolist())])
+                    held.append(h)
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(_signed(f1)), pa.array(_signed(f2)), pa.array(subs, kind)], names)
+                if len(held) >= HOT_DOCS or sum(map(len, held)) >= FLUSH:
+                    yield frequent()
+        if held:
+            yield frequent()
         _hashes.clear()
         tidy()
 
-    ddl = f"id bigint, n bigint, f1 bigint, f2 bigint, {', '.join(f'{b} bigint' for b in BITS)}, sub_sizes array<bigint>, subs array<bigint>"
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, subs array<struct<c:bigint,k1:bigint,k2:bigint>>")
 
 
-def _entries(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """(key, id): the lists that each large enough set is in."""
+# --- inverted lists: postings go through two shuffles, in blocks: by shingle, and those of two sets at least by set
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signer = _Signer(threshold)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                keys, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-                for i, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist()):
-                    h = shingles(text, size)
-                    if len(h) >= signer.listed:
-                        keys.append(np.unique(signer.lists(h)).view(np.int64))
-                        ids.append(np.full(len(keys[-1]), i))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids))], ["key", "id"])
-        _hashes.clear()
-        tidy()
+#: A block of postings: sets by their names, with their sizes and numbers of postings here; the shingles, and their counts.
+BLOCK = "bucket bigint, names binary, sizes binary, runs binary, hashes binary, counts binary"
+_BLOCK = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("names", "sizes", "runs", "hashes", "counts"))])
 
-    return docs.mapInArrow(run, "key bigint, id bigint")
 
+def _blocks(bucket: np.ndarray, own: np.ndarray, names: np.ndarray, sizes: np.ndarray, h: np.ndarray, counts: np.ndarray | None) -> pa.RecordBatch:
+    """Postings (bucket, place of the set, shingle), in the order of the sets, as a block for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, own, h = bucket[order], own[order], h[order]
+    counts = None if counts is None else counts[order].astype(np.int32)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(bucket) else np.zeros(1, np.int64)
+    out: dict[str, list] = {f.name: [] for f in _BLOCK}
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        first = np.flatnonzero(np.concatenate([[True], own[a + 1 : b] != own[a : b - 1]]))
+        at = own[a + first]
+        row = (int(bucket[a]), names[at].tobytes(), sizes[at].astype(np.int32).tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), h[a:b].tobytes(), b"" if counts is None else counts[a:b].tobytes())
+        for x, v in zip(out.values(), row):
+            x.append(v)
+    return pa.RecordBatch.from_pydict(out, schema=_BLOCK)
+
+
+def _postings(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """(name, size, shingle, count) of all postings of a bucket's blocks."""
+    whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+    runs = whole("runs", np.int32)
+    return np.repeat(whole("names", np.uint64), runs), np.repeat(whole("sizes", np.int32), runs), whole("hashes", np.uint64), whole("counts", np.int32)
+
+
+def _by_shingle(docs: DataFrame, size: int, threshold: Threshold, bits: int, hot) -> DataFrame:
+    """Blocks of the postings of all large sets, by the first bits of the shingle. Hot shingles, whose counts are known,
+    go by their sets right away, to buckets under 0."""
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        listed, (hot_h, hot_n) = threshold.listed(), hot.value
+        held: dict[int, np.ndarray] = {}
+
+        def out() -> Iterator[pa.RecordBatch]:
+            names, sets = np.array(list(held), np.uint64), list(held.values())
+            sizes = np.array([len(x) for x in sets], np.int64)
+            h, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            held.clear()
+            at = np.minimum(np.searchsorted(hot_h, h), max(0, len(hot_h) - 1))
+            is_hot = hot_h[at] == h if len(hot_h) else np.zeros(len(h), bool)
+            yield _blocks((h[~is_hot] >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64), own[~is_hot], names, sizes, h[~is_hot], None)
+            if is_hot.any():
+                own, at = own[is_hot], at[is_hot]
+                yield _blocks(-1 - (names >> U(64 - bits)).astype(np.int64)[own], own, names, sizes, h[is_hot], hot_n[at])
+
+        total = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                own = [shingles(x, size).view(np.int64) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(own, pa.list_(pa.int64()))], ["id", "hashes"])
+            for text in batch.column("text"):
+                h = shingles(text.as_py(), size)
+                if len(h) >= listed and (name := int(fingerprint(h)[0])) not in held:
+                    held[name] = h
+                    total += len(h)
+                    if total >= FLUSH:
+                        yield from out()
+                        total = 0
+        if held:
+            yield from out()
         _hashes.clear()
         tidy()
 
-    return docs.mapInArrow(run, "id bigint, hashes array<bigint>")
+    return docs.mapInArrow(run, BLOCK)
+
+
+def _by_set(bits: int):
+    """Blocks by the first bits of the set's name, of the postings whose shingle two sets have at least."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, sizes, h, counts = _postings(table)
+        if table.column("bucket")[0].as_py() >= 0:
+            order = np.argsort(h, kind="stable")
+            s = h[order]
+            alike = s[1:] == s[:-1]
+            order = order[np.concatenate([[False], alike]) | np.concatenate([alike, [False]])]
+            order = order[np.lexsort((names[order], h[order]))]  # equal sets of several workers are one
+            order = order[np.concatenate([[True], (names[order][1:] != names[order][:-1]) | (h[order][1:] != h[order][:-1])])] if len(order) else order
+            _, back, n = np.unique(h[order], return_inverse=True, return_counts=True)
+            order, counts = order[n[back] > 1], n[back][n[back] > 1]
+            names, sizes, h = names[order], sizes[order], h[order]
+        order = np.argsort(names, kind="stable")
+        names, sizes, h, counts = names[order], sizes[order], h[order], counts[order]
+        first = np.concatenate([[True], names[1:] != names[:-1]])[: len(names)]
+        own = np.cumsum(first) - 1
+        return pa.Table.from_batches([_blocks((names >> U(64 - bits)).astype(np.int64), own, names[first], sizes[first], h, counts)])
+
+    return run
+
+
+def _sets(threshold: Threshold):
+    """(id, n, tokens, b0 to b15): sets of which enough is shared for a link, their shared shingles from the rarest on."""
+
+    def run(table: pa.Table) -> pa.Table:
+        names, sizes, h, counts = _postings(table)
+        order = np.lexsort((h, counts, names))
+        names, sizes, h = names[order], sizes[order], h[order]
+        new = np.concatenate([[True], (names[1:] != names[:-1]) | (h[1:] != h[:-1])])[: len(names)]
+        names, sizes, h = names[new], sizes[new], h[new]
+        first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]])[: len(names)])
+        ends = np.append(first[1:], len(names))
+        out: dict[str, list] = {c: [] for c in ("id", "n", "tokens", *BITS)}
+        for a, b in zip(first.tolist(), ends.tolist()):
+            n = int(sizes[a])
+            if (b - a) * threshold.whole >= n * threshold.part:
+                own = h[a:b]
+                bits = np.packbits((np.bincount((own & U(64 * BITMAP - 1)).astype(np.int64), minlength=64 * BITMAP) & 1).astype(np.uint8)).view(np.int64)
+                for x, v in zip(out.values(), (int(names[a : a + 1].view(np.int64)[0]), n, own.view(np.int64), *bits.tolist())):
+                    x.append(v)
+        return pa.table({"id": pa.array(out["id"], pa.int64()), "n": pa.array(out["n"], pa.int64()), "tokens": pa.array(out["tokens"], pa.list_(pa.int64())), **{c: pa.array(out[c], pa.int64()) for c in BITS}})
+
+    return run
+
+
+def _subset_links(nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Links (a, b) of small sets: whatever shares a subset links with the smallest set that has it."""
+    subs = save(nodes.filter(F.size("subs") > 0).select("id", "n", F.explode("subs").alias("s")).select("id", "n", "s.c", "s.k1", "s.k2"), "jaccard-subsets")
+    keys = ["c", "k1", "k2"]
+    hubs = subs.groupBy(*keys).agg(F.min(F.struct("n", "id")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select(*keys, F.col("hub.id").alias("a"), F.col("hub.n").alias("na"))
+    found = subs.join(hubs, keys).filter((F.col("a") != F.col("id")) & (F.col("c") * (t.part + t.whole) >= (F.col("na") + F.col("n")) * t.part))
+    return save(found.select("a", F.col("id").alias("b")).distinct(), "jaccard-small")
+
+
+def _large_sets(texts: DataFrame, size: int, t: Threshold, total: int, hot: DataFrame) -> DataFrame:
+    spark = texts.sparkSession
+    bits = max(LEAST_BUCKETS, -(-total // BUCKET)).bit_length()
+    rows = hot.orderBy(F.desc("m"), "f1").limit(HOT_LISTS).collect()
+    n = np.array([r["m"] for r in rows], np.int64)
+    h = np.array([r["f1"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    shared = spark.sparkContext.broadcast((h[order], n[order]))
+    blocks = _by_shingle(texts, size, t, bits, shared).groupBy("bucket").applyInArrow(_by_set(bits), BLOCK)
+    return save(blocks.groupBy("bucket").applyInArrow(_sets(t), f"id bigint, n bigint, tokens array<bigint>, {', '.join(f'{b} bigint' for b in BITS)}"), "jaccard-sets")
+
+
+def _list_links(sets: DataFrame, links: DataFrame, t: Threshold) -> DataFrame:
+    """links and those that the lists bring; at the end, sets that link are in one component."""
+    part, both = t.part, t.part + t.whole
+    alone = F.col("n") - F.size("tokens")  # shingles that no other set has, the rarest of all
+    about = sets.select("id", "n", alone.alias("alone"), *BITS)
+    facts_of = small_enough(about, SMALL_SETS)
+    # a set of n scans n - s + 1 lists, s being the fewest shingles that its smallest partner shares
+    least = F.expr(f"({part} * (n + ({part} * n + {t.whole - 1}) div {t.whole}) + {both - 1}) div {both}")
+    scan = F.col("n") - least + 1 - alone
+    entries = sets.filter(scan > 0).select("id", "n", alone.alias("alone"), F.posexplode(F.slice("tokens", F.lit(1), scan.cast("int"))).alias("k", "key"))
+    entries = save(entries.select("key", "id", "n", "alone", (F.col("alone") + F.col("k")).alias("at")), "jaccard-lists")
+
+    def may_link(a: Column, b: Column) -> Column:
+        apart = a["alone"] + b["alone"] + sum((F.bit_count(a[c].bitwiseXOR(b[c])) for c in BITS), F.lit(0))
+        return (a["n"] * t.whole >= b["n"] * part) & (b["n"] * t.whole >= a["n"] * part) & (apart * both <= (a["n"] + b["n"]) * (t.whole - part))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that link: what two sets share, both share with another set, so it is in their tokens."""
+        for c in ("a", "b"):
+            pairs = pairs.join(facts_of.select(F.col("id").alias(c), F.struct("n", "alone", *BITS).alias(f"of_{c}")), c)
+        pairs = save(pairs.filter(may_link(F.col("of_a"), F.col("of_b"))).select("a", "b", F.col("of_a.n").alias("na"), F.col("of_b.n").alias("nb")), "jaccard-pairs")
+        tokens = lambda c, x: sets.select(F.col("id").alias(c), F.col("tokens").alias(x))
+        found = pairs.join(tokens("a", "x"), "a").join(tokens("b", "y"), "b").withColumn("o", F.size(F.array_intersect("x", "y")))
+        return found.filter(F.col("o") * t.whole >= (F.col("na") + F.col("nb") - F.col("o")) * part).select("a", "b")
+
+    def placed(links: DataFrame) -> DataFrame:
+        return entries.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def open_lists(members: DataFrame, hub: Column) -> DataFrame:
+        """Lists with members in several components, and a hub of each."""
+        return members.groupBy("key").agg(F.min(hub).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key", "hub")
+
+    for turn in range(HUB_ROUNDS):
+        members = placed(links)
+        # sets with few shingles of their own are the likeliest centres; later turns try other components
+        central = F.struct(F.floor(F.col("alone") * 64 / F.col("n")).alias("c"), "id", "component")
+        hub = F.struct(F.xxhash64(F.lit(turn), "component").alias("h"), central.alias("of")) if turn else F.struct(F.lit(0).cast("bigint").alias("h"), central.alias("of"))
+        pairs = members.join(open_lists(members, hub), "key").filter(F.col("hub.of.component") != F.col("component"))
+        pairs = pairs.select(F.least("hub.of.id", "id").alias("a"), F.greatest("hub.of.id", "id").alias("b")).distinct()
+        links = save(links.unionByName(linked(pairs)), "jaccard-links")
+    members = placed(links)
+    # members of one list in different components: a shared shingle's places bound what two sets may share
+    folds = [F.col(b).bitwiseXOR(F.col(f"b{k + 4}")).bitwiseXOR(F.col(f"b{k + 8}")).bitwiseXOR(F.col(f"b{k + 12}")).alias(b) for k, b in enumerate(BITS[:4])]
+    left = members.join(open_lists(members, F.col("id")).select("key"), "key", "left_semi")
+    left = save(left.join(about.select("id", *folds), "id"), "jaccard-left")
+    p, q = left.alias("p"), left.alias("q")
+    n, m = F.col("p.n"), F.col("q.n")
+    room = F.least(n - F.col("p.at"), m - F.col("q.at")) * both >= (n + m) * part
+    apart = F.col("p.alone") + F.col("q.alone") + sum((F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in BITS[:4]), F.lit(0))
+    rest = p.join(q, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & room & (n * t.whole >= m * part) & (m * t.whole >= n * part) & (apart * both <= (n + m) * (t.whole - part)))
+    pairs = rest.select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
+    return links.unionByName(save(linked(pairs), "jaccard-links"))
 
 
 def jaccard_components(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
@@ -264,67 +375,21 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, part: int = 80, whole:
     """
     t = Threshold(part, whole)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
-    rows = save(facts(texts, size, t), "jaccard-facts")
+    every = save(facts(texts, size, t), "jaccard-facts")
+    rows = every.filter("n >= 0")
     known = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
-    # equal sets are one node, named by the smallest id
-    nodes = save(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("node"), *[F.first(b).alias(b) for b in BITS]), "jaccard-nodes")
-    named = nodes.select("f1", "f2", "n", F.col("node").alias("id"))
-    keyed = known.join(named, ["f1", "f2", "n", "id"], "left_semi")  # one row a node, but for repeated rows
-
-    # small sets: whatever shares a subset links with the smallest set that has it
-    subs = keyed.filter(F.size("subs") > 0).select("id", "n", F.explode(F.arrays_zip("sub_sizes", "subs")).alias("s")).select("id", "n", F.col("s.sub_sizes").alias("c"), F.col("s.subs").alias("key"))
-    own = Window.partitionBy("c", "key")
-    hub = F.min(F.struct("n", "id")).over(own)
-    small = subs.withColumn("hub", hub).filter((F.col("hub.id") != F.col("id")) & (F.col("c") * (part + whole) >= (F.col("hub.n") + F.col("n")) * part)).select(F.col("hub.id").alias("a"), F.col("id").alias("b"))
-    links = save(small.distinct(), "jaccard-small")
-
-    # large sets: lists with two members at least; ids are few bytes, texts many
-    texts_of = lambda ids: texts.join(small_enough(ids, SMALL_IDS), "id", "left_semi")
-    every = _entries(texts_of(nodes.select(F.col("node").alias("id"))), size, t)
-    entries = every.withColumn("m", F.count("*").over(Window.partitionBy("key"))).filter("m > 1").select("key", "id")
-    entries = save(entries.distinct(), "jaccard-lists")
-    about = nodes.select(F.col("node").alias("id"), "n", *BITS)
-    # a bitmap of a quarter's length, by parity of its words' bits, leaves most pairs out at less cost
-    folded = about.select("id", "n", *[F.col(f"b{k}").bitwiseXOR(F.col(f"b{k + 4}")).bitwiseXOR(F.col(f"b{k + 8}")).bitwiseXOR(F.col(f"b{k + 12}")).alias(f"b{k}") for k in range(4)])
-    folded = small_enough(save(folded, "jaccard-bitmaps"), SMALL_BITMAPS)
-
-    def may_link(a: str, b: str, bits: list[str]) -> Column:
-        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        apart = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits), F.lit(0))
-        return (n * whole >= m * part) & (m * whole >= n * part) & (apart * (whole + part) <= (n + m) * (whole - part))
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs (a, b) that link, by their sets; only texts of these pairs are taken apart again."""
-        pairs = save(pairs, "jaccard-pairs")
-        ids = save(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "jaccard-ids")
-        sets = save(_sets(texts_of(ids), size), "jaccard-sets")
-        left, right = sets.select(F.col("id").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("id").alias("b"), F.col("hashes").alias("y"))
-        both = pairs.join(left, "a").join(right, "b").withColumn("o", F.size(F.array_intersect("x", "y")))
-        return both.filter(F.col("o") * whole >= (F.size("x") + F.size("y") - F.col("o")) * part).select("a", "b")
-
-    def with_facts(pairs: DataFrame, facts: DataFrame, bits: list[str]) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(facts.select(F.col("id").alias(c), F.struct("n", *bits).alias(f"_{c}")), c)
-        return pairs.filter(may_link("_a", "_b", bits)).select("a", "b")
-
-    likely = lambda pairs: with_facts(with_facts(pairs, folded, BITS[:4]), about, BITS)
-    for turn in range(HUB_ROUNDS):
-        # members and the hub of a list, but for those that are in one component already
-        placed = entries.join(components(links), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        hub = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "component")).over(Window.partitionBy("key"))
-        pairs = placed.withColumn("hub", hub).filter("hub.component <> component").select(F.least("hub.id", "id").alias("a"), F.greatest("hub.id", "id").alias("b")).distinct()
-        links = save(links.unionByName(checked(likely(pairs))), "jaccard-links")
-    # the rest: members of one list that are in different components so far
-    labels = components(links)
-    placed = entries.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    several = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    placed = save(placed.join(several, "key", "left_semi").join(folded, "id"), "jaccard-placed")
-    a, b = placed.alias("p"), placed.alias("q")
-    rest = a.join(b, (F.col("p.key") == F.col("q.key")) & (F.col("p.component") < F.col("q.component")) & may_link("p", "q", BITS[:4])).select(F.least("p.id", "q.id").alias("a"), F.greatest("p.id", "q.id").alias("b")).distinct()
-    more = save(checked(likely(rest)), "jaccard-links")
-    labels = save(components(links.unionByName(more)), "jaccard-components")
-
-    of = nodes.join(labels.withColumnRenamed("id", "node"), "node", "left").select("f1", "f2", "n", F.coalesce("component", "node").alias("component_id"))
+    # equal sets are one node
+    nodes = save(known.groupBy("f1", "f2", "n").agg(F.min("id").alias("least"), F.first("subs").alias("subs")), "jaccard-nodes").withColumn("id", F.col("f1"))
+    large = nodes.filter(F.col("n") >= t.listed()).agg(F.sum("n")).first()[0] or 0
+    links = _subset_links(nodes, t)
+    hot = every.filter("n < 0").groupBy("f1").agg(F.sum("f2").alias("m")).filter(F.col("m") * HOT_SHARE >= every.filter("n >= 0").count())
+    links = _list_links(_large_sets(texts.filter("id IS NOT NULL"), size, t, large, hot), links, t)
+    labels = save(components(links), "jaccard-components")
+
+    named = nodes.select("f1", "f2", "n", "least").join(labels.withColumnRenamed("id", "f1"), "f1", "left")
+    named = save(named, "jaccard-named")
+    ids = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
+    of = named.join(ids, "component", "left").select("f1", "f2", "n", F.coalesce("component_id", "least").alias("component_id"))
     found = known.select("id", "n", "f1", "f2").join(of, ["f1", "f2", "n"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
     alone = rows.filter((F.col("n") == 0) | F.col("id").isNull()).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return found.unionByName(alone)

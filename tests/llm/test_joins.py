@@ -244,7 +244,7 @@ def test_components_by_brute_force(spark, seed):
 @pytest.mark.parametrize("broadcast", [True, False])
 def test_other_thresholds_and_sizes(spark, broadcast, monkeypatch):
     if not broadcast:
-        monkeypatch.setattr(jaccard, "SMALL_IDS", 0)
+        monkeypatch.setattr(jaccard, "SMALL_SETS", 0)
     docs = near_docs(5, 5)
     df = spark.createDataFrame(docs, "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df).collect()}
@@ -259,10 +259,38 @@ def test_threshold_arithmetic():
             if o > min(n, m):
                 continue
             assert 100 * o >= 90 * (n + m - o) and 100 * (o - 1) < 90 * (n + m - o + 1)
-            assert n + m - 2 * o <= t.differ(n, m)
-    assert t.boundary() == 19
-    lo = t.classes(500)
-    assert all(a[1] + 1 == b[0] for a, b in zip(lo, lo[1:]))
+            # a set with a partner of m shares more than what lies behind the lists that it scans
+            assert n - t.scanned(n) < o
+    assert all(t.boundary() >= n for n in range(1, t.boundary() + 1)) and t.listed() <= t.boundary() + 1
+    for other in (jaccard.Threshold(80), jaccard.Threshold(50)):
+        assert 0 < other.listed() <= other.boundary() + 1 and all(other.scanned(n) >= 1 for n in range(1, 500))
+
+
+def crowd(seed, n=150):
+    """One large group of near copies that mostly don't reach each other but by a few, beside a passage that all of
+    another group share, and copies."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base, passage, docs = [word() for _ in range(90)], [word() for _ in range(60)], []
+    for k in range(n):
+        t = list(base)
+        for _ in range(k % 4):
+            t[rng.randrange(len(t))] = word()
+        docs.append(" ".join(t))
+        docs.append(" ".join([word() for _ in range(5 + k % 9)] + passage + [word() for _ in range(k % 7)]))
+    return list(enumerate(docs + docs[:20]))
+
+
+@pytest.mark.parametrize("part, size", [(90, 3), (80, 5)])
+@pytest.mark.parametrize("rounds, hot", [(3, 512), (0, 2), (1, 10**9)])
+def test_large_groups_by_brute_force(spark, part, size, rounds, hot, monkeypatch):
+    """With or without hubs, and with hot lists or none."""
+    monkeypatch.setattr(jaccard, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard, "HOT_SHARE", hot)
+    docs = crowd(part)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, size=size, part=part).collect()}
+    assert got == brute_components(docs, part, 100, size)
 
 
 def test_jaccard_odd_rows(spark):
