@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +40,15 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def save_parts(spark: SparkSession, parts: Iterable[DataFrame], schema: str, name: str) -> DataFrame:
+    """One table of many parts, each written by a job of its own into one folder, so that no plan holds them all."""
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for part in parts:
+        part.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def small_enough(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast of the written table df if it has at most so many rows; else Spark shuffles both sides.
 
