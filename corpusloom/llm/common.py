@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.storage import save, scratch_dir, small_enough
+from ..operators.storage import save, save_parts, scratch_dir, small_enough
 
-__all__ = ["GAP", "WORD", "n_words", "save", "scratch_dir", "small_enough", "tidy", "unused", "words"]
+__all__ = ["GAP", "WORD", "n_words", "save", "save_parts", "scratch_dir", "small_enough", "tidy", "unused", "words"]
 
 #: Words are runs of anything but ASCII white space (fixed by the queries' contracts).
 WORD = r"[^\x20\x09-\x0D]+"

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -169,22 +171,52 @@ def test_topk_twin(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("block", [4, 2048])
-def test_topk_by_brute_force(spark, block):
-    rng = random.Random(8)
-    vecs = {i: [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)] for i in range(60)}  # ties abound
-    rows = [(i, v) for i, v in vecs.items()] + [(3, vecs[3]), (70, None), (71, [1.0, None, 2.0]), (72, [1.0, float("nan"), 0.0]), (73, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0]), (74, [1.0]), (75, [2.0]), (76, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("mine"))
+def brute_top(rows, queries, k):
+    """rows: (id, vector); each query row's (id, [(rank, id, score)])."""
+    q = [(i, [math.floor(256 * Fraction(x)) for x in v]) for i, v in rows]
+    out = []
+    for a, (i, x) in enumerate(q):
+        if queries(i):
+            best = sorted((-sum(s * t for s, t in zip(x, y)), j, b) for b, (j, y) in enumerate(q) if b != a and len(y) == len(x))[:k]
+            out.append((i, [(r + 1, j, min(max(-s, -(2**63)), 2**63 - 1)) for r, (s, j, _) in enumerate(best)]))
+    return out
+
+
+def check_top(spark, rows, more=(), **options):
+    df = spark.createDataFrame([*rows, *more], "vec_id long, embedding array<double>").withColumns({c: F.lit("mine") for c in ("score", "row", "query", "fits", "v", "id")}).repartition(3)
     got: dict = {}
-    for r in topk.top_k(df, F.col("vec_id") % 5 == 0, 5, bins=4, row_block=block, query_block=block).collect():
+    for r in topk.top_k(df, F.col("vec_id") % 5 == 0, 5, **options).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    q = {i: [int(np.floor(256 * x)) for x in v] for i, v in vecs.items()}
-    for i in range(0, 60, 5):
-        best = sorted(((-sum(a * b for a, b in zip(q[i], q[j])), j) for j in q if j != i))[:5]
-        assert sorted(got.pop(i)) == [(k + 1, j, -s) for k, (s, j) in enumerate(best)]
-    assert got.pop(75) == [(1, 74, 256 * 512)]  # fewer candidates than asked for
-    assert not got
-    assert topk.top_k(df.filter("false"), F.col("vec_id") % 5 == 0).count() == 0
+    want: dict = {}
+    for i, best in brute_top(rows, lambda i: i % 5 == 0, 5):
+        want.setdefault(i, []).extend(best)
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items() if x}
+
+
+@pytest.mark.parametrize("bins, group", [(4, 2048), (512, 5)])
+def test_topk_by_brute_force(spark, bins, group):
+    """Ties, repeated ids and rows, vectors that take no part, other lengths."""
+    rng = random.Random(8)
+    vecs = [(i, [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(3)]) for i in range(60)]
+    rows = [*vecs, (3, vecs[3][1]), (5, [1.0, 1.0, 1.0]), (5, [1.0, 1.0, 1.0]), (10, [-1.0, 0.5, 0.5]), (74, [1.0]), (75, [2.0]), (76, []), (80, []), (85, [])]
+    more = [(70, None), (71, [1.0, None, 2.0]), (72, [1.0, float("nan"), 0.0]), (73, [float("inf"), 0.0, 0.0]), (None, [1.0, 1.0, 1.0])]
+    check_top(spark, rows, more, bins=bins, query_group=group)
+
+
+@pytest.mark.parametrize("size", [3e6, 1e12, 1e200])
+def test_topk_of_large_values(spark, size):
+    """Products over 53 bits, over 63 bits, and over what doubles hold, beside ordinary ones."""
+    rng = random.Random(9)
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(40)]
+    rows += [(40 + i, [rng.choice([-1, 1]) * size * rng.choice([0.25, 1 / 3, 1.0]) for _ in range(4)]) for i in range(20)]
+    check_top(spark, rows)
+
+
+def test_topk_of_negative_scores(spark):
+    check_top(spark, [(i, [1.0 if i % 5 else -1.0, 0.01 * (i % 7)]) for i in range(40)])
+    assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 5 == 0).count() == 0
+    one = spark.createDataFrame([(5, [1.0])], "vec_id long, embedding array<float>")
+    assert topk.top_k(one, F.col("vec_id") % 5 == 0).count() == 0
 
 
 # --- Jaccard join
