@@ -7,11 +7,15 @@ nowhere else are dropped. The suffixes of the rest are sorted on disk, by Spark'
 their common prefixes; from their order, that of the strings that start one byte before is induced, then two
 bytes before, and so on: two strings are equal if the bytes before their anchors are equal so far and their suffixes
 have the rest in common. Order beyond the length sought never matters, so one level of sampling ends the recursion.
+
+The same order answers for a shorter length, too: passages of fewer bytes that several documents have are reported, not
+removed.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +35,11 @@ LARGE_GROUP = 20_000
 #: Contexts that a worker sorts out together.
 BATCH = 20_000
 
+#: Passages: so many whole words within bytes that strings of so many bytes cover which another document has, too.
+PASSAGE_BYTES, PASSAGE_WORDS = 256, 50
+
 U = np.uint64
+WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
 def _places(data: np.ndarray) -> np.ndarray:
@@ -136,55 +144,80 @@ def _common(a: bytes, b: bytes) -> int:
     return int((np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)).argmax())
 
 
-def induce(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], lo: np.ndarray, hi: np.ndarray, length: int) -> list[list[tuple[int, int]]]:
-    """For each context, the runs (first, last) of offsets before the anchor at which its string is another one's, too.
+def _edges(found: np.ndarray) -> list[list[tuple[int, int]]]:
+    """The runs (first, last) of true values in each row; the last column is false."""
+    out: list[list[tuple[int, int]]] = [[] for _ in found]
+    edge = np.diff(np.concatenate([np.zeros((len(found), 1), np.int8), found.astype(np.int8)], axis=1), axis=1)
+    for (i, a), (_, b) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist()):
+        out[i].append((a, b - 1))
+    return out
+
+
+def induce(groups: np.ndarray, lefts: list[bytes], rights: list[bytes], lo: np.ndarray, hi: np.ndarray, owners: np.ndarray, length: int, passage: int) -> tuple[list, list]:
+    """For each context, the runs (first, last) of offsets before the anchor at which its string of that length is another
+    one's, too; and the same for strings of a passage's length, where the other one is another document's.
 
     Contexts come sorted by group and suffix. common holds the common prefix of each suffix with the one before;
     suffixes between which it never falls under length - offset have enough in common for that offset. Names of what
-    stands before the anchors are induced from those of one byte less.
+    stands before the anchors are induced from those of one byte less. owners: the document of each context, 0 for several.
     """
     n = len(rights)
+    size = np.fromiter(map(len, rights), np.int64, n)
     common = np.array([0, *(_common(a, b) if g == h else 0 for a, b, g, h in zip(rights, rights[1:], groups, groups[1:]))])
     width = int(hi.max(initial=0))
     before = np.zeros((n, width + 1), np.uint8)
     for i, x in enumerate(lefts):
         if x:
             before[i, 1 : len(x) + 1] = np.frombuffer(x, np.uint8)[::-1]
-    found = np.zeros((n, width + 2), bool)
+    found, near = np.zeros((n, width + 2), bool), np.zeros((n, width + 2), bool)
     group = np.cumsum(np.concatenate([[0], groups[1:] != groups[:-1]]))
+    owner = np.unique(np.append(owners, 0), return_inverse=True)[1]
+    several = owner[:-1] == owner[-1]
+    owner = owner[:-1]
     alive, name = np.arange(n), group.astype(np.int64)
     for o in range(width + 1):
         if o:
             name = np.unique(name * 256 + before[alive, o], return_inverse=True)[1]
-        cluster = np.cumsum(common < length - o)[alive]
-        may = (lo[alive] <= o) & (o <= hi[alive])
-        key = np.where(may, name * (n + 1) + cluster, -1)
-        _, inverse, count = np.unique(key, return_inverse=True, return_counts=True)
-        found[alive, o] = may & (count[inverse] > 1)
+        within = (lo[alive] <= o) & (o <= hi[alive])
+        for long, seen in ((length, found), (passage, near)):
+            cluster = np.cumsum(common < long - o)[alive]
+            may = within & (size[alive] >= long - o)
+            at = alive[may]
+            _, inverse, count = np.unique(name[may] * (n + 1) + cluster[may], return_inverse=True, return_counts=True)
+            if seen is found:
+                seen[at, o] = count[inverse] > 1
+            else:
+                # one document alone owns a cluster if its least owner is its greatest, and no context has several
+                least, most = np.full(len(count), n + 2), np.full(len(count), -1)
+                np.minimum.at(least, inverse, owner[at])
+                np.maximum.at(most, inverse, owner[at])
+                shared = np.zeros(len(count), bool)
+                np.logical_or.at(shared, inverse, several[at])
+                seen[at, o] = (shared | (least < most))[inverse]
         # what no other context of its group has before its anchor so far is alone from here on
         _, inverse, count = np.unique(name, return_inverse=True, return_counts=True)
         stay = (count[inverse] > 1) & (hi[alive] > o)
         alive, name = alive[stay], name[stay]
         if not len(alive):
             break
-    out: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    edge = np.diff(np.concatenate([np.zeros((n, 1), np.int8), found.astype(np.int8)], axis=1), axis=1)
-    for (i, a), (_, b) in zip(np.argwhere(edge == 1).tolist(), np.argwhere(edge == -1).tolist()):
-        out[i].append((a, b - 1))
-    return out
+    return _edges(found), _edges(near)
+
+
+_OFFSETS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _solve(length: int):
+def _solve(length: int, passage: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
-            g, left, right, lo, hi = (list(x) for x in zip(*(r[:5] for r in rows)))
-            runs = induce(np.array(g, np.int64), left, right, np.array(lo), np.array(hi), length)
-            return pa.RecordBatch.from_pydict({"c": [r[5] for r in rows], "runs": [[{"first": a, "last": b} for a, b in x] for x in runs]}, schema=pa.schema([("c", pa.binary()), ("runs", pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))]))
+            g, left, right, lo, hi, owner = (list(x) for x in zip(*(r[:6] for r in rows)))
+            named = lambda runs: [[{"first": a, "last": b} for a, b in x] for x in runs]
+            runs, near = induce(np.array(g, np.int64), left, right, np.array(lo), np.array(hi), np.array(owner, np.int64), length, passage)
+            return pa.RecordBatch.from_pydict({"c": [r[6] for r in rows], "runs": named(runs), "near": named(near)}, schema=pa.schema([("c", pa.binary()), ("runs", _OFFSETS), ("near", _OFFSETS)]))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("f", "left", "right", "lo", "hi", "c"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("f", "left", "right", "lo", "hi", "owner", "c"))):
                 if len(held) >= BATCH and row[0] != held[-1][0]:
                     yield out(held)
                     held = []
@@ -195,66 +228,82 @@ def _solve(length: int):
     return run
 
 
-def _strings(length: int):
+def _strings(lengths: tuple[int, ...]):
     """Each string of a context by a 128-bit hash, for groups too large for one worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for left, right, lo, hi, c in zip(*(batch.column(k).to_pylist() for k in ("left", "right", "lo", "hi", "c"))):
+            for left, right, lo, hi, owner, c in zip(*(batch.column(k).to_pylist() for k in ("left", "right", "lo", "hi", "owner", "c"))):
                 whole = left + right
-                offsets = range(lo, hi + 1)
-                yield pa.RecordBatch.from_pydict({"w": [xxhash.xxh3_128_digest(whole[len(left) - o : len(left) - o + length]) for o in offsets], "c": [c] * len(offsets), "o": pa.array(offsets, pa.int32())})
+                for length in lengths:
+                    offsets = range(max(lo, length - len(right)), hi + 1)
+                    yield pa.RecordBatch.from_pydict(
+                        {"w": [xxhash.xxh3_128_digest(whole[len(left) - o : len(left) - o + length]) for o in offsets], "long": pa.array([length] * len(offsets), pa.int32()), "c": [c] * len(offsets), "o": pa.array(offsets, pa.int32()), "owner": pa.array([owner] * len(offsets), pa.int64())},
+                        schema=pa.schema([("w", pa.binary()), ("long", pa.int32()), ("c", pa.binary()), ("o", pa.int32()), ("owner", pa.int64())]),
+                    )
 
     return run
 
 
+def _merged(runs: list[dict]) -> list[list[int]]:
+    spans: list[list[int]] = []
+    for r in sorted(runs, key=lambda r: r["first"]):
+        if spans and r["first"] <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], r["end"])
+        else:
+            spans.append([r["first"], r["end"]])
+    return spans
+
+
+def _whole_words(data: bytes, first: int, end: int) -> int:
+    """Words of data that lie within these bytes from end to end."""
+    return sum(1 for m in WORDS.finditer(data, max(0, first - 1), min(len(data), end + 1)) if m.start() >= first and m.end() <= end)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without the bytes in runs (first, end), which overlap as they please."""
+    """Texts without the bytes in runs (first, end), which overlap as they please; and whether near holds a passage."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))), ("repeats_passage", pa.bool_())])
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            out: dict[str, list] = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans")}
-            for doc, text, whole, runs in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("whole").to_pylist(), part.column("runs").to_pylist()):
+            out: dict[str, list] = {f.name: [] for f in schema}
+            for doc, text, copied, runs, near in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("copied").to_pylist(), part.column("runs").to_pylist(), part.column("near").to_pylist()):
                 data = text.as_buffer().to_pybytes() if text.is_valid else b""
-                spans: list[list[int]] = [[0, len(data)]] if whole and data else []
-                for r in [] if whole else sorted(runs or [], key=lambda r: r["first"]):
-                    if spans and r["first"] <= spans[-1][1]:
-                        spans[-1][1] = max(spans[-1][1], r["end"])
-                    else:
-                        spans.append([r["first"], r["end"]])
+                everything = [{"first": 0, "end": len(data)}]
+                spans = _merged(everything if copied == "removed" else runs or [])
+                passages = _merged(everything if copied else near or [])
                 kept, last = [], 0
                 for a, b in spans:
                     kept.append(data[last:a])
                     last = b
                 kept.append(data[last:])
-                row = (doc, len(data), sum(b - a for a, b in spans), len(spans), b"".join(kept), [{"first": a, "end": b} for a, b in spans])
-                for name, v in zip(out, row):
-                    out[name].append(v)
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": out["doc_id"], "n_bytes": out["n_bytes"], "n_removed": out["n_removed"], "n_spans": out["n_spans"], "kept": out["kept"], "spans": out["spans"]},
-                schema=pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))]),
-            )
+                row = (doc, len(data), sum(b - a for a, b in spans), len(spans), b"".join(kept), [{"first": a, "end": b} for a, b in spans], any(_whole_words(data, a, b) >= PASSAGE_WORDS for a, b in passages))
+                for x, v in zip(out.values(), row):
+                    x.append(v)
+            yield pa.RecordBatch.from_pydict(out, schema=schema)
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _cut(batches):
         sha = [hashlib.sha256(x.as_buffer() if len(x.as_py()) else b"").hexdigest() for x in batch.column("kept")]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [pa.array(sha)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [pa.array(sha), batch.column("repeats_passage")], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "repeats_passage"])
 
 
-def repeated_runs(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFrame]:
-    """docs as (doc_id, text, k1, k2), k1 and k2 being a 128-bit key of the text; and per key: whole, runs.
+def repeated_runs(docs: DataFrame, length: int = 400, passage: int = PASSAGE_BYTES) -> tuple[DataFrame, DataFrame]:
+    """docs as (doc_id, text, k1, k2), k1 and k2 being a 128-bit key of the text; and per key: copied, runs, near.
 
-    whole: the text is as long as a string at least, and there more than once. runs: (first, end) of the bytes that
-    strings of that length cover which start anywhere else, too; unsorted, and they may overlap.
+    copied: the text is there more than once; "removed" if it is as long as a string, else "short". runs: (first, end) of
+    the bytes that strings of that length cover which start anywhere else, too; near: the same for strings of a
+    passage's length that another document has. Both are unsorted and may overlap.
     """
-    if length < PLACES + GRAM:
+    least, longest = min(length, passage), max(length, passage)
+    if least < PLACES + GRAM:
         raise ValueError(f"strings must have {PLACES + GRAM} bytes at least")
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("2"), text).alias("k2"))
-    long = keyed.filter(F.octet_length("text") >= length)
-    several = long.groupBy("k1", "k2").agg(F.count("*").alias("m")).filter("m > 1").select("k1", "k2", F.lit(True).alias("whole"))
-    rows = long.select("k1", "k2", "text").mapInArrow(_anchor_rows(length), "f bigint, k1 bigint, k2 bigint, a int, lo int, hi int")
+    long = keyed.filter(F.octet_length("text") >= least)
+    several = long.groupBy("k1", "k2").agg(F.count("*").alias("m"), F.first(F.octet_length("text")).alias("size")).filter("m > 1").select("k1", "k2", F.when(F.col("size") >= length, "removed").otherwise("short").alias("copied"))
+    rows = long.select("k1", "k2", "text").mapInArrow(_anchor_rows(least), "f bigint, k1 bigint, k2 bigint, a int, lo int, hi int")
 
     def shared(rows: DataFrame) -> DataFrame:
         """Rows whose f is not theirs alone. Counts are summed before they are shuffled; the shared ones are written, so
@@ -266,39 +315,47 @@ def repeated_runs(docs: DataFrame, length: int = 400) -> tuple[DataFrame, DataFr
     rows = shared(save(save(shared(rows), "suffix-shared").distinct(), "suffix-anchors"))
     found = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("f", "a", "lo", "hi")).alias("found"))  # one text's anchors
     texts = long.groupBy("k1", "k2").agg(F.first("text").alias("text"))
-    cut = texts.join(found, ["k1", "k2"]).mapInArrow(_contexts(length), "f bigint, left binary, right binary, lo int, hi int, k1 bigint, k2 bigint, a int")
+    cut = texts.join(found, ["k1", "k2"]).mapInArrow(_contexts(longest), "f bigint, left binary, right binary, lo int, hi int, k1 bigint, k2 bigint, a int")
     # equal contexts are one; c names them
     cut = cut.withColumn("c", F.unhex(F.md5(F.concat(F.col("left"), F.lit(b"|"), F.col("right"), F.format_string("|%d|%d", "lo", "hi").cast("binary")))))
     cut = save(cut, "suffix-contexts")
     uses = cut.select("c", "k1", "k2", "a", "lo", "hi")
-    distinct = cut.groupBy("f", "c").agg(F.count("*").alias("m"), *[F.first(x).alias(x) for x in ("left", "right", "lo", "hi")])
+    owner = F.when(F.min("k1") == F.max("k1"), F.min("k1")).otherwise(F.lit(0)).alias("owner")
+    distinct = cut.groupBy("f", "c").agg(F.count("*").alias("m"), *[F.first(x).alias(x) for x in ("left", "right", "lo", "hi")], owner)
     distinct = save(distinct, "suffix-distinct")
     sizes = distinct.groupBy("f").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > LARGE_GROUP).select("f")
     run_type = "array<struct<first:int,last:int>>"
+    none = F.array().cast(run_type)
     apart = distinct.join(large, "f", "left_anti").repartition("f").sortWithinPartitions("f", "right")
-    solved = apart.select("f", "left", "right", "lo", "hi", "c").mapInArrow(_solve(length), f"c binary, runs {run_type}")
-    strings = distinct.join(large, "f", "left_semi").select("left", "right", "lo", "hi", "c").mapInArrow(_strings(length), "w binary, c binary, o int")
-    again = strings.groupBy("w").agg(F.count("*").alias("m")).filter("m > 1").select("w")
-    counted = strings.join(again, "w", "left_semi").groupBy("c").agg(F.collect_list(F.struct(F.col("o").alias("first"), F.col("o").alias("last"))).alias("runs"))
-    alike = distinct.filter("m > 1").select("c", F.array(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"))).alias("runs"))
-    offsets = solved.filter(F.size("runs") > 0).unionByName(counted).unionByName(alike)
-    runs = uses.join(offsets, "c").groupBy("k1", "k2").agg(
-        F.flatten(F.collect_list(F.transform("runs", lambda r: F.struct((F.col("a") - r["last"]).cast("bigint").alias("first"), (F.col("a") - r["first"] + length).cast("bigint").alias("end"))))).alias("runs")
-    )
-    return keyed, save(several.join(runs, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("whole", F.lit(False)).alias("whole"), "runs"), "suffix-runs")
-
-
-def remove_repeats(docs: DataFrame, length: int = 400, *, digest: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept, spans): a row per document; or, with digest, kept_sha256 for the last two.
+    solved = apart.select("f", "left", "right", "lo", "hi", "owner", "c").mapInArrow(_solve(length, passage), f"c binary, runs {run_type}, near {run_type}")
+    strings = distinct.join(large, "f", "left_semi").select("left", "right", "lo", "hi", "owner", "c").mapInArrow(_strings((length, passage)), "w binary, long int, c binary, o int, owner bigint")
+    elsewhere = (F.min("owner") < F.max("owner")) | (F.max(F.when(F.col("owner") == 0, 1).otherwise(0)) == 1)
+    again = strings.groupBy("w", "long").agg(F.count("*").alias("m"), elsewhere.alias("elsewhere")).filter((F.col("long") == length) & (F.col("m") > 1) | (F.col("long") == passage) & F.col("elsewhere")).select("w", "long")
+    at = lambda n: F.collect_list(F.when(F.col("long") == n, F.struct(F.col("o").alias("first"), F.col("o").alias("last"))))
+    counted = strings.join(again, ["w", "long"], "left_semi").groupBy("c").agg(at(length).alias("runs"), at(passage).alias("near"))
+    # a context that is there more than once is repeated as far as it goes, if it is long enough
+    first = lambda n: F.greatest(F.col("lo"), n - F.octet_length("right"))
+    upto = lambda n: F.when(first(n) <= F.col("hi"), F.array(F.struct(first(n).alias("first"), F.col("hi").alias("last")))).otherwise(none)
+    alike = distinct.filter("m > 1").select("c", upto(length).alias("runs"), F.when(F.col("owner") == 0, upto(passage)).otherwise(none).alias("near"))
+    offsets = solved.filter((F.size("runs") > 0) | (F.size("near") > 0)).unionByName(counted).unionByName(alike)
+    bytes_of = lambda c, n: F.flatten(F.collect_list(F.transform(c, lambda r: F.struct((F.col("a") - r["last"]).cast("bigint").alias("first"), (F.col("a") - r["first"] + n).cast("bigint").alias("end")))))
+    runs = uses.join(offsets, "c").groupBy("k1", "k2").agg(bytes_of("runs", length).alias("runs"), bytes_of("near", passage).alias("near"))
+    return keyed, save(several.join(runs, ["k1", "k2"], "full").select("k1", "k2", "copied", "runs", "near"), "suffix-runs")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, *, passage: int = PASSAGE_BYTES, digest: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept, spans, repeats_passage): a row per document; or, with digest, kept_sha256
+    for kept and spans.
 
     Texts count as UTF-8 bytes. Every byte goes that is in a string of so many bytes which also starts elsewhere, in the
     same text or another; overlaps count, and strings never go over a text's end. kept holds what is left, spans the
-    maximal removed runs (first, end). A null text counts as empty. Repeated rows are repeats of each other; an empty
-    table gives none; other columns are ignored.
+    maximal removed runs (first, end). repeats_passage tells of documents with a passage of PASSAGE_WORDS whole words or
+    more that another document has, too, found by strings of passage bytes. A null text counts as empty. Repeated rows
+    are repeats of each other; an empty table gives none; other columns are ignored.
     """
-    keyed, runs = repeated_runs(docs, length)
-    joined = keyed.join(runs, ["k1", "k2"], "left").select("doc_id", "text", F.coalesce("whole", F.lit(False)).alias("whole"), "runs")
+    keyed, runs = repeated_runs(docs, length, passage)
+    joined = keyed.join(runs, ["k1", "k2"], "left").select("doc_id", "text", "copied", "runs", "near")
     if digest:
-        return joined.mapInArrow(_digested, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
-    return joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<first:bigint,end:bigint>>")
+        return joined.mapInArrow(_digested, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, repeats_passage boolean")
+    return joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, spans array<struct<first:bigint,end:bigint>>, repeats_passage boolean")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import random
+import re
 import zlib
 from fractions import Fraction
 
@@ -129,10 +130,58 @@ def test_repeats_by_brute_force(spark, seed, large, monkeypatch):
     monkeypatch.setattr(suffixes, "LARGE_GROUP", large)
     texts = planted_texts(seed)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(df, 200, digest=True).collect()}
+    got = {r["doc_id"]: tuple(r)[1:-1] for r in suffixes.remove_repeats(df, 200, digest=True).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
 
 
+def brute_passages(texts, size):
+    """Texts with 50 whole words within bytes that strings of that size cover which another document has."""
+    data = [(t or "").encode() for t in texts]
+    seen: dict = {}
+    for k, b in enumerate(data):
+        for i in range(len(b) - size + 1):
+            seen.setdefault(b[i : i + size], []).append((k, i))
+    cover = [np.zeros(len(b) + 1, bool) for b in data]
+    for at in seen.values():
+        if len({k for k, _ in at}) > 1:
+            for k, i in at:
+                cover[k][i : i + size] = True
+    out = []
+    for b, c in zip(data, cover):
+        inside, best = 0, 0
+        ws = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", b)]
+        for n, (a, e) in enumerate(ws):
+            whole = c[a:e].all()
+            joined = inside and c[ws[n - 1][1] : a].all()
+            inside = (inside + 1 if joined else 1) if whole else 0
+            best = max(best, inside)
+        out.append(best >= 50)
+    return out
+
+
+@pytest.mark.parametrize("large", [20_000, 2])
+def test_contract_lengths_and_passages_by_brute_force(spark, large, monkeypatch):
+    """Strings of 400 bytes, and passages from another document by strings of 256."""
+    monkeypatch.setattr(suffixes, "LARGE_GROUP", large)
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passages = [text(n) for n in (45, 55, 60, 75, 120)]
+    texts = []
+    for k in range(40):
+        parts = [text(rng.randint(5, 60))]
+        for p in rng.sample(passages, rng.randint(0, 2)):
+            parts += [p, text(rng.randint(1, 40))]
+        texts.append(" ".join(parts))
+    own = text(80)
+    texts += [own + " x " + own, texts[0], text(200), text(52)[:300], None, ""]  # a text that repeats itself alone
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(df, 400, digest=True).collect()}
+    assert [got[i][:-1] for i in range(len(texts))] == brute_repeats(texts, 400)
+    want = brute_passages(texts, 256)
+    assert [got[i][-1] for i in range(len(texts))] == want and 5 < sum(want) < 40 and not want[40]
+
+
 def test_repeats_over_tiles(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "TILE", 700)
     texts = planted_texts(7)
@@ -146,7 +195,7 @@ def test_repeats_over_tiles(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "TILE", 1 << 18)
     for a, b in zip(small, suffixes.anchors(data, starts[ok], ends[ok], 200)):
         assert (a == b).all()
-    got = {r["doc_id"]: tuple(r)[1:] for r in suffixes.remove_repeats(df, 200, digest=True).collect()}
+    got = {r["doc_id"]: tuple(r)[1:-1] for r in suffixes.remove_repeats(df, 200, digest=True).collect()}
     assert [got[i] for i in range(len(texts))] == brute_repeats(texts, 200)
 
 
