@@ -158,6 +158,14 @@ def test_token_counts_equal_library(spark):
     assert token_count.count_tokens(frame(spark, EMPTY), vocabulary(BYTE_VOCABULARY)).count() == 0
 
 
+def test_token_counts_of_long_words_and_equal_ids(spark):
+    lib = encode.library(vocabulary(BYTE_VOCABULARY))
+    texts = ["-" * 80 + f" {i} " + "x" * (60 + i) for i in range(20)] + ["-" * 80] * 3
+    rows = [(None if i % 2 else 7, t, "en", "a", 0) for i, t in enumerate(texts)]
+    got = sorted((r["n_bytes"], r["n_tokens"]) for r in token_count.count_tokens(frame(spark, rows), vocabulary(BYTE_VOCABULARY)).collect())
+    assert got == sorted((len(t), len(lib.encode(t, add_special_tokens=False).ids)) for t in texts)
+
+
 def test_token_counts_without_frequent_words(spark, monkeypatch):
     monkeypatch.setattr(token_count, "FREQUENT", 0)
     a = sorted(map(tuple, token_count.count_tokens(frame(spark), vocabulary(BYTE_VOCABULARY)).collect()))
