@@ -23,9 +23,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import components
-from .common import save, small_enough, tidy
+from .common import save, small_enough, tidy, unused
 
 U = np.uint64
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -37,12 +38,12 @@ HUB_ROUNDS = 3
 BITMAP = 16
 BITS = [f"b{k}" for k in range(BITMAP)]
 #: Postings that a worker deals to buckets at once; postings of a bucket, about, and buckets at least.
-FLUSH, BUCKET, LEAST_BUCKETS = 1 << 21, 1 << 21, 64
+FLUSH, BUCKET, LEAST_BUCKETS = 1 << 21, 1 << 21, 16
 #: Shingles in more than one of so many documents have lists too hot for one bucket, and are counted apart: at most
 #: HOT_LISTS of them, the most frequent. They are told by counts over so many documents at once.
 HOT_SHARE, HOT_LISTS, HOT_DOCS = 512, 1 << 17, 8192
-#: Up to so many sizes and bitmaps, of 160 bytes each, are broadcast to pairs.
-SMALL_SETS = 100_000
+#: Up to so many sizes and bitmaps, of 160 bytes each, are broadcast to pairs; and so many rows' keys, of 24, to rows.
+SMALL_SETS, SMALL_KEYS = 100_000, 1_000_000
 
 
 class Threshold:
@@ -133,12 +134,12 @@ def _signed(x) -> np.ndarray:
 
 
 def facts(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
-    """Per row: id, n, the set's fingerprint f1 and f2, and the subsets of small sets. Besides, with n = -1, shingles
-    f1 that f2 of some thousand documents have, if these are a good part."""
+    """Per row: id, t1, t2, n, the set's fingerprint f1 and f2, and the subsets of small sets. Besides, with n = -1,
+    shingles f1 that f2 of some thousand documents have, if these are a good part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         small = threshold.boundary()
-        names = ["id", "n", "f1", "f2", "subs"]
+        names = ["id", "t1", "t2", "n", "f1", "f2", "subs"]
         kind = pa.list_(pa.struct([("c", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64())]))
         held: list[np.ndarray] = []
 
@@ -147,7 +148,7 @@ def facts(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
             u, c = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
             u, c = (x[c >= max(8, 2 * len(held) // HOT_SHARE)] for x in (u, c))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), pa.array(np.full(len(u), -1)), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), kind)], names)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(u), pa.int64())] * 3, pa.array(np.full(len(u), -1)), pa.array(u.view(np.int64)), pa.array(c.astype(np.int64)), pa.nulls(len(u), kind)], names)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
@@ -162,7 +163,7 @@ def facts(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
                     own = subsets(h, threshold) if 0 < len(h) <= small else []
                     subs.append([{"c": c, "k1": x, "k2": y} for (c, _, _), x, y in zip(own, _signed([x for _, x, _ in own]).tolist(), _signed([y for _, _, y in own]).tolist())])
                     held.append(h)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(n, pa.int64()), pa.array(_signed(f1)), pa.array(_signed(f2)), pa.array(subs, kind)], names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names[:3]), pa.array(n, pa.int64()), pa.array(_signed(f1)), pa.array(_signed(f2)), pa.array(subs, kind)], names)
                 if len(held) >= HOT_DOCS or sum(map(len, held)) >= FLUSH:
                     yield frequent()
         if held:
@@ -170,12 +171,14 @@ def facts(docs: DataFrame, size: int, threshold: Threshold) -> DataFrame:
         _hashes.clear()
         tidy()
 
-    return docs.mapInArrow(run, "id bigint, n bigint, f1 bigint, f2 bigint, subs array<struct<c:bigint,k1:bigint,k2:bigint>>")
+    return docs.mapInArrow(run, "id bigint, t1 bigint, t2 bigint, n bigint, f1 bigint, f2 bigint, subs array<struct<c:bigint,k1:bigint,k2:bigint>>")
 
 
 # --- inverted lists: postings go through two shuffles, in blocks: by shingle, and those of two sets at least by set
 
-#: A block of postings: sets by their names, with their sizes and numbers of postings here; the shingles, and their counts.
+#: A block of postings: sets by their names, with their sizes and numbers of postings here; the shingles, and their
+#: counts if known. Shingles whose first bits the bucket tells have the last 7 bytes only; bits that get lost (4 at most)
+#: count for none.
 BLOCK = "bucket bigint, names binary, sizes binary, runs binary, hashes binary, counts binary"
 _BLOCK = pa.schema([("bucket", pa.int64()), *((c, pa.binary()) for c in ("names", "sizes", "runs", "hashes", "counts"))])
 
@@ -190,17 +193,23 @@ def _blocks(bucket: np.ndarray, own: np.ndarray, names: np.ndarray, sizes: np.nd
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         first = np.flatnonzero(np.concatenate([[True], own[a + 1 : b] != own[a : b - 1]]))
         at = own[a + first]
-        row = (int(bucket[a]), names[at].tobytes(), sizes[at].astype(np.int32).tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), h[a:b].tobytes(), b"" if counts is None else counts[a:b].tobytes())
+        row = (int(bucket[a]), names[at].tobytes(), sizes[at].astype(np.int32).tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), h[a:b].tobytes() if counts is not None else h[a:b].view(np.uint8).reshape(-1, 8)[:, :7].tobytes(), b"" if counts is None else counts[a:b].tobytes())
         for x, v in zip(out.values(), row):
             x.append(v)
     return pa.RecordBatch.from_pydict(out, schema=_BLOCK)
 
 
-def _postings(table: pa.Table) -> tuple[np.ndarray, ...]:
-    """(name, size, shingle, count) of all postings of a bucket's blocks."""
+def _postings(table: pa.Table, first_bits: int | None = None) -> tuple[np.ndarray, ...]:
+    """(name, size, shingle, count) of all postings of a bucket's blocks; first_bits: those that the bucket tells."""
     whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
     runs = whole("runs", np.int32)
-    return np.repeat(whole("names", np.uint64), runs), np.repeat(whole("sizes", np.int32), runs), whole("hashes", np.uint64), whole("counts", np.int32)
+    if first_bits is None:
+        h = whole("hashes", np.uint64)
+    else:
+        last = whole("hashes", np.uint8).reshape(-1, 7)
+        h = np.concatenate([last, np.zeros((len(last), 1), np.uint8)], axis=1).view(np.uint64).ravel()
+        h |= U(table.column("bucket")[0].as_py()) << U(64 - first_bits)
+    return np.repeat(whole("names", np.uint64), runs), np.repeat(whole("sizes", np.int32), runs), h, whole("counts", np.int32)
 
 
 def _by_shingle(docs: DataFrame, size: int, threshold: Threshold, bits: int, hot) -> DataFrame:
@@ -245,8 +254,9 @@ def _by_set(bits: int):
     """Blocks by the first bits of the set's name, of the postings whose shingle two sets have at least."""
 
     def run(table: pa.Table) -> pa.Table:
-        names, sizes, h, counts = _postings(table)
-        if table.column("bucket")[0].as_py() >= 0:
+        known = table.column("bucket")[0].as_py() < 0
+        names, sizes, h, counts = _postings(table, None if known else bits)
+        if not known:
             order = np.argsort(h, kind="stable")
             s = h[order]
             alike = s[1:] == s[:-1]
@@ -300,7 +310,7 @@ def _subset_links(nodes: DataFrame, t: Threshold) -> DataFrame:
 
 def _large_sets(texts: DataFrame, size: int, t: Threshold, total: int, hot: DataFrame) -> DataFrame:
     spark = texts.sparkSession
-    bits = max(LEAST_BUCKETS, -(-total // BUCKET)).bit_length()
+    bits = (max(LEAST_BUCKETS, -(-total // BUCKET)) - 1).bit_length()
     rows = hot.orderBy(F.desc("m"), "f1").limit(HOT_LISTS).collect()
     n = np.array([r["m"] for r in rows], np.int64)
     h = np.array([r["f1"] for r in rows], np.int64).view(np.uint64)
@@ -364,17 +374,10 @@ def _list_links(sets: DataFrame, links: DataFrame, t: Threshold) -> DataFrame:
     return links.unionByName(save(linked(pairs), "jaccard-links"))
 
 
-def jaccard_components(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
-    """(doc_id, n_shingles, component_id): a row per document; documents link where the Jaccard similarity of their
-    sets of word shingles is at least part / whole, and component_id is the smallest doc_id that links reach.
-
-    A null text, or one without words, has an empty set and links with nothing; a text of fewer words than a
-    shingle has all of them as one. Equal texts link whatever their ids; rows that share an id are judged each by
-    its own text. Rows with a null id take no part and have no component. An empty table gives none; other columns
-    are ignored.
-    """
-    t = Threshold(part, whole)
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+def _judged(docs: DataFrame, size: int, t: Threshold) -> DataFrame:
+    """Per row of docs: id, t1, t2, n, component_id, and a name of the component; t1 and t2 tell texts apart. Two
+    components may have the same id if different texts share one, but not the same name."""
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), *_text_keys("t1", "t2"), "text")
     every = save(facts(texts, size, t), "jaccard-facts")
     rows = every.filter("n >= 0")
     known = rows.filter((F.col("n") > 0) & F.col("id").isNotNull())
@@ -383,13 +386,51 @@ def jaccard_components(docs: DataFrame, *, size: int = 5, part: int = 80, whole:
     large = nodes.filter(F.col("n") >= t.listed()).agg(F.sum("n")).first()[0] or 0
     links = _subset_links(nodes, t)
     hot = every.filter("n < 0").groupBy("f1").agg(F.sum("f2").alias("m")).filter(F.col("m") * HOT_SHARE >= every.filter("n >= 0").count())
-    links = _list_links(_large_sets(texts.filter("id IS NOT NULL"), size, t, large, hot), links, t)
+    links = _list_links(_large_sets(texts.filter("id IS NOT NULL").select("text"), size, t, large, hot), links, t)
     labels = save(components(links), "jaccard-components")
 
     named = nodes.select("f1", "f2", "n", "least").join(labels.withColumnRenamed("id", "f1"), "f1", "left")
     named = save(named, "jaccard-named")
     ids = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(ids, "component", "left").select("f1", "f2", "n", F.coalesce("component_id", "least").alias("component_id"))
-    found = known.select("id", "n", "f1", "f2").join(of, ["f1", "f2", "n"]).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.filter((F.col("n") == 0) | F.col("id").isNull()).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
+    of = named.join(ids, "component", "left").select("f1", "f2", "n", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("component", "f1").alias("name"))
+    found = known.join(of, ["f1", "f2", "n"]).select("id", "t1", "t2", "n", "component_id", "name")
+    alone = rows.filter((F.col("n") == 0) | F.col("id").isNull()).select("id", "t1", "t2", "n", F.col("id").alias("component_id"), F.col("f1").alias("name"))
     return found.unionByName(alone)
+
+
+def _text_keys(a: str, b: str) -> list[Column]:
+    return [F.xxhash64("text").alias(a), F.xxhash64(F.lit(2), F.col("text")).alias(b)]
+
+
+def jaccard_components(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """(doc_id, n_shingles, component_id): a row per document; documents link where the Jaccard similarity of their
+    sets of word shingles is at least part / whole, and component_id is the smallest doc_id that links reach.
+
+    A null text, or one without words, has an empty set and links with nothing; a text of fewer words than a
+    shingle has all of them as one. Equal texts link whatever their ids; rows that share an id are judged each by
+    its own text. Rows with a null id take no part and have no component. An empty table gives none; other columns
+    are ignored.
+    """
+    rows = _judged(docs, size, Threshold(part, whole))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, *, size: int = 5, part: int = 80, whole: int = 100) -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id, of rows that share it one text's.
+
+    Rows with a null id stay, and so do texts without words. Of rows with the same id and text one stays. Columns of
+    any names stay as they are; an empty table gives none.
+    """
+    rows = save(_judged(docs, size, Threshold(part, whole)).filter("n > 0 AND id IS NOT NULL").drop("n"), "jaccard-judged")
+    first = rows.groupBy("name").agg(F.min(F.struct("id", "t1", "t2")).alias("first"))
+    gone = rows.join(first, "name").filter(F.struct("id", "t1", "t2") != F.col("first")).select("id", "t1", "t2").distinct()
+    again = rows.groupBy("id", "t1", "t2").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
+    key = unused(docs, "id", "t1", "t2")
+    # keys are small beside texts, which move only where there are too many of these
+    named = lambda keys: small_enough(save(keys.toDF(*key), "jaccard-keys"), SMALL_KEYS)
+    gone, again = named(gone), named(again)
+    kept = docs.withColumn(key[0], F.col("doc_id").cast("bigint")).withColumns(dict(zip(key[1:], _text_keys(*key[1:])))).join(gone, key, "left_anti")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(*[F.col(c) for c in docs.columns])))
+    (n,) = unused(kept, "n")
+    several = kept.join(again, key, "left_semi").withColumn(n, nth).filter(F.col(n) == 1).drop(n)
+    return kept.join(again, key, "left_anti").unionByName(several).select(docs.columns)

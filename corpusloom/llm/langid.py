@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import tidy, unused
 
 #: First and last code points of scripts; letters elsewhere are of the script "other".
 SCRIPTS = {
@@ -34,8 +34,9 @@ SCRIPTS = {
 NAMES = [*SCRIPTS, "other"]
 _EDGES = sorted((a, b, k) for k, rs in enumerate(SCRIPTS.values()) for a, b in rs)
 
-#: Labelled documents of each language that the model learns from, about: a bounded sample by hash of the id.
-SAMPLE = 1500
+#: Labelled documents of each language that the model learns from, about: a bounded sample by hash of the id. Languages
+#: that it knows at most: those with the most labelled documents, so that dirty labels don't make it grow.
+SAMPLE, LANGUAGES = 1500, 512
 #: Character n-grams of words with their ends marked, up to so many characters, in so many buckets.
 LONGEST, BUCKETS = 4, 1 << 16
 #: A language takes part for a script if that share of its training words is in it.
@@ -47,16 +48,22 @@ KNOWN_WORDS = 100_000
 #: Characters of texts that are labelled at once.
 CHUNK_CHARS = 1_500_000
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Words: letters with their combining marks, which scripts of India and Thailand have within words.
+_MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x483, 0x489), (0x591, 0x5BD), (0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x900, 0x903), (0x93A, 0x94F), (0x951, 0x957), (0x962, 0x963), (0x981, 0x983), (0x9BC, 0x9D7), (0xB82, 0xB82), (0xBBE, 0xBCD), (0xBD7, 0xBD7), (0xE31, 0xE31), (0xE34, 0xE3A), (0xE47, 0xE4E), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20F0), (0x3099, 0x309A)))
+LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 
 
 def script_of(word: str) -> int:
-    """The script of the word's first letter."""
-    o = ord(word[0])
-    for a, b, k in _EDGES:
-        if a <= o <= b:
-            return k
-    return len(SCRIPTS)
+    """The script of most of the word's letters; of several, that of the first letter among them."""
+    if word.isascii():
+        return 0
+    found: dict[int, int] = {}
+    for c in word:
+        if not "\u0300" <= c <= "\u036f":  # marks that go with any script
+            o = ord(c)
+            k = next((k for a, b, k in _EDGES if a <= o <= b), len(SCRIPTS))
+            found[k] = found.get(k, 0) + 1
+    return max(found, key=found.get) if found else len(SCRIPTS)
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -200,14 +207,15 @@ def label(model: Model, texts: list[str | None], spans: bool = False) -> list[tu
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From (doc_id, text, lang): n-gram counts over a sample of about so many documents of each language, by a
-    hash of the id. Workers count; the driver gets one row for each language and bucket at most."""
+    hash of the id. Workers count and add up; the driver gets one row for each language, of at most BUCKETS counts."""
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not per:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros((len(NAMES), 0), bool))
     share = F.create_map(*[x for k, n in per.items() for x in (F.lit(k), F.lit(min(1.0, sample / n)))])
     draw = F.crc32(F.concat(F.lit("sample|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))) / float(2**32)
-    chosen = known.filter(draw < F.element_at(share, F.col("lang"))).select("lang", "text")
+    chosen = known.filter(draw < F.try_element_at(share, F.col("lang"))).select("lang", "text")
+    ddl = "lang string, counts binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
@@ -217,29 +225,50 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
                 if ws := LETTERS.findall(text):
                     own[:BUCKETS] += np.bincount(grams(ws)[0], minlength=BUCKETS)
                     own[BUCKETS:] += np.bincount([script_of(w) for w in ws], minlength=len(NAMES))
-        for lang, own in seen.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": own[at]})
+        yield from _packed(seen)
 
-    counts = chosen.mapInArrow(count, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    return Model.of([tuple(r) for r in counts.collect()])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of one language follow each other, one at a time in memory."""
+        seen: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for lang, packed in zip(batch.column("lang").to_pylist(), batch.column("counts")):
+                if lang not in seen:
+                    yield from _packed(seen)
+                    seen = {lang: np.zeros(BUCKETS + len(NAMES), np.int64)}
+                at, n = np.frombuffer(packed.as_buffer(), np.int64).reshape(2, -1)
+                seen[lang][at] += n
+        yield from _packed(seen)
+
+    rows = chosen.mapInArrow(count, ddl).repartition("lang").sortWithinPartitions("lang").mapInArrow(add, ddl).collect()
+    return Model.of([(r["lang"], int(b), int(n)) for r in rows for b, n in np.frombuffer(r["counts"], np.int64).reshape(2, -1).T])
+
+
+def _packed(seen: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """A row for each language: the buckets that aren't 0, and their counts."""
+    for lang, own in seen.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_pydict({"lang": [lang], "counts": [np.stack([at, own[at]]).astype(np.int64).tobytes()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
 
 def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
 
 
-def identify(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame:
-    """docs with lang_pred and score, and spans if asked for; columns of these names are replaced.
+def identify(docs: DataFrame, model: Model, *, spans: bool = False, names: tuple[str, ...] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """docs with lang_pred and score, and spans if asked for, under these names; columns named so are replaced, others
+    stay, whatever their names.
 
     lang_pred: the language that most of the text's letters are in, by the labelled spans; "und" with score 0 for
     null texts and those without letters, and where the model knows no language. A tie goes to the first language by
-    code point. An empty table gives none; repeated rows are labelled alike; other columns stay.
+    code point. An empty table gives none; repeated rows are labelled alike. The model goes to the workers as a broadcast;
+    it has BUCKETS numbers for each of at most LANGUAGES languages.
     """
     kind = "struct<lang_pred:string,score:double" + (",spans:array<struct<start:int,end:int,lang:string>>" if spans else "") + ">"
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(kind)
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = shared.value
         for part in texts:
             rows = label(model, [x if isinstance(x, str) else None for x in part.tolist()], spans)
             out = {"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]}
@@ -249,6 +278,7 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False) -> DataFrame
         model.index, model.rows = {}, model.rows[:0]
         tidy()
 
-    made = docs.withColumn("_lang", run("text"))
-    names = ["lang_pred", "score"] + ["spans"] * spans
-    return made.withColumns({n: F.col(f"_lang.{n}") for n in names}).drop("_lang")
+    (found,) = unused(docs, "found")
+    made = docs.withColumn(found, run("text"))
+    fields = ["lang_pred", "score"] + ["spans"] * spans
+    return made.withColumns({n: F.col(found)[f] for n, f in zip(names, fields)}).drop(found)

@@ -1,10 +1,13 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree, in DataFrame operations only.
 
 Each source's documents fall into blocks by a keyed hash. A source's target in words fixes exactly how many of
-its blocks the mix draws, pass after pass, and which part of the last block. The tree deals these quotas out:
-each node halves its shards and draws how many of each source's blocks go left, as a shuffle of all blocks
-would, until every shard has its quota. Shards then take disjoint runs of each source's permuted blocks, and
-order their documents by a keyed hash.
+its blocks the mix draws, pass after pass, and which part of the last block. The tree deals these quotas out: each
+node halves its shards, and a keyed permutation of its draws says which of them go left. So the numbers of each
+source's blocks on both sides follow the multivariate hypergeometric law, every shard gets its share of all draws, and
+the blocks of a source that shards have are disjoint runs of a permutation. Shards order their documents by a keyed hash.
+
+Permutations are ranks of hashes: those of a node or a source are counted by ranges of the hash first, so that no
+task gets more than a range.
 """
 
 from __future__ import annotations
@@ -13,12 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import n_words, save, small_enough
+from .common import n_words, save, small_enough, unused
 
 #: No document is taken more often.
 MAX_PASSES = 3
 #: Source tables and block tables of at most so many rows are broadcast.
 SMALL_ROWS = 200_000
+#: Hexadecimal digits of a hash that tell its range.
+RANGE = 3
 
 
 def hash31(*parts: Column | str) -> Column:
@@ -54,106 +59,110 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...], max_passes: int =
     )
 
 
-def _split(node: DataFrame, seed: str) -> DataFrame:
-    """Both children of each node (path, lo, hi, quotas, ords): how many of each source's draws go left.
+def _text(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
-    The left side gets its share of all draws, rounded by a keyed coin. Going through the draws one by one, each
-    goes left with probability left places / left draws: that is the multivariate hypergeometric law, exactly.
-    """
-    u = lambda i, j: (hash31(F.lit(seed), F.col("path"), i.cast("string"), j.cast("string")) + 0.5) / float(2**31)
-    zero = lambda n, places: F.struct(n.cast("bigint").alias("n"), places.cast("bigint").alias("places"), F.lit(0).cast("bigint").alias("got"))
-
-    def one(state: Column, i: Column, quota: Column) -> Column:
-        begun = zero(state["n"], state["places"])
-        draw = lambda s, j: F.struct((s["n"] - 1).alias("n"), (s["places"] - F.when(u(i, j) * s["n"] < s["places"], 1).otherwise(0)).alias("places"), (s["got"] + F.when(u(i, j) * s["n"] < s["places"], 1).otherwise(0)).alias("got"))
-        return F.when(quota > 0, F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(quota, F.lit(1))), begun, draw)).otherwise(begun)
-
-    def through(state: Column, x: Column) -> Column:
-        after = one(state, x["i"], x["quota"])
-        return F.struct(after["n"].alias("n"), after["places"].alias("places"), F.concat(state["out"], F.array(after["got"])).alias("out"))
-
-    total = F.aggregate("quotas", F.lit(0).cast("bigint"), lambda a, q: a + q)
-    mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
-    places = F.floor(F.col("total") * (mid - F.col("lo")) / (F.col("hi") - F.col("lo")) + (hash31(F.lit(seed), F.col("path"), F.lit("coin")) + 0.5) / float(2**31)).cast("bigint")
-    start = F.struct(F.col("total").alias("n"), F.least(places, F.col("total")).alias("places"), F.array().cast("array<bigint>").alias("out"))
-    indexed = F.transform("quotas", lambda q, i: F.struct(i.alias("i"), q.alias("quota")))
-    done = node.withColumn("total", total).withColumn("left", F.aggregate(indexed, start, through)["out"]).withColumn("mid", mid)
-    two = F.array(
-        F.struct(F.concat("path", F.lit("0")).alias("path"), F.col("lo").alias("lo"), F.col("mid").alias("hi"), F.col("left").alias("quotas"), F.col("ords").alias("ords")),
-        F.struct(F.concat("path", F.lit("1")).alias("path"), F.col("mid").alias("lo"), F.col("hi").alias("hi"), F.zip_with("quotas", "left", lambda a, b: a - b).alias("quotas"), F.col("ords").alias("ords")),
-    )
-    return done.select(F.explode(F.when(F.col("hi") - F.col("lo") > 1, two).otherwise(F.array(F.struct("path", "lo", "hi", "quotas", "ords")))).alias("c")).select("c.*")
 
+def _ranked(rows: DataFrame, group: list[str], key: str, ties: list[str], weight: Column | None = None) -> DataFrame:
+    """rows with total, the weights of their group, and before, those of the rows before them by key and ties."""
+    w = F.lit(1).cast("bigint") if weight is None else weight
+    rows = rows.withColumn("range", F.substring(key, 1, RANGE)).withColumn("w", w)
+    by = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    # at most 16 ** RANGE rows a group
+    ranges = rows.groupBy(*group, "range").agg(F.sum("w").alias("in_range")).withColumn("earlier", F.coalesce(F.sum("in_range").over(by), F.lit(0))).withColumn("total", F.sum("in_range").over(Window.partitionBy(*group)))
+    own = Window.partitionBy(*group, "range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn("within", F.coalesce(F.sum("w").over(own), F.lit(0)))
+    return within.join(ranges.drop("in_range"), [*group, "range"]).withColumn("before", F.col("earlier") + F.col("within")).drop("earlier", "within", "range", "w")
 
-def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, seed: str = "mix-1", block_docs: int = 32, max_blocks: int = 4096, max_passes: int = MAX_PASSES) -> DataFrame:
-    """Per document: row columns of docs but text, size, source_size, target, copies, taken, and placements: an
-    array of (pass, shard, order) with one entry for each copy that the mix takes.
 
-    A source takes whole passes over its documents and of one more pass its first blocks in a permuted order, the
-    last of them in part, so that its words come within one document of its target. Rows with a null text or without
-    words have size 0; they come with the passes and blocks they fall in. Repeated rows count each; ties of the
-    hash order go by id. An empty table gives an empty result; other columns are ignored. Runs agree.
+def _deal(draws: DataFrame, shards: int, seed: str) -> DataFrame:
+    """(ord, block, pass, shard): the tree, one level of all its nodes after the other."""
+    ties = ["ord", "block", "pass"]
+    node = draws.select(*ties, F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
+    for _ in range(max(0, shards - 1).bit_length()):
+        key = F.md5(F.concat_ws("|", F.lit(seed), F.col("lo").cast("string"), F.col("hi").cast("string"), *[F.col(c).cast("string") for c in ties]))
+        ranked = _ranked(node.withColumn("key", key), ["lo", "hi"], "key", ties)
+        mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
+        coin = (hash31(F.lit(seed), F.col("lo").cast("string"), F.col("hi").cast("string"), F.lit("coin")) + 0.5) / float(2**31)
+        left = F.col("before") < F.floor(F.col("total") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")) + coin)
+        leaf = F.col("hi") - F.col("lo") == 1
+        halved = ranked.withColumn("mid", mid).withColumn("left", left)
+        node = save(halved.select(*ties, F.when(leaf | F.col("left"), F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(leaf | ~F.col("left"), F.col("hi")).otherwise(F.col("mid")).alias("hi")), "mix-tree")
+    return node.select(*ties, F.col("lo").alias("shard"))
+
+
+def _placed(docs: DataFrame, params: DataFrame, seed: str) -> DataFrame:
+    """docs (doc_id, source, size and others) with their source's params, their block, and doc_key."""
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    joined = docs.join(small_enough(params, SMALL_ROWS), F.col("source").eqNullSafe(F.col("of_source"))).drop("of_source")
+    return joined.withColumn("block", F.pmod(hash31(F.lit(seed), key, _text("doc_id")), F.col("n_blocks"))).withColumn("doc_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("doc"), F.col("doc_id").cast("string"))))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], shards: int, seed: str, block_docs: int, max_passes: int) -> tuple[DataFrame, DataFrame]:
+    """(params, blocks) from (doc_id, source, size): one row per source, and one per block with what the mix draws of it.
+
+    blocks: full passes, cut, draws. In the pass after the full ones, a block's documents are taken whose (doc_key,
+    doc_id, size) is at most its cut: all of them if cut.every, none if cut is null.
     """
-    sized = save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
     targets = save(source_targets(sized, weights, max_passes), "mix-targets")
-    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
-    blocks = F.least(F.greatest(F.ceil(F.col("n_docs") / block_docs), F.lit(1)), F.lit(max_blocks))
+    blocks = F.greatest(F.ceil(F.col("n_docs") / block_docs), F.lit(1))
     params = targets.withColumn("n_blocks", blocks.cast("bigint")).withColumn("passes", F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(max_passes))).otherwise(0).cast("int"))
     params = params.withColumn("rest", F.col("target") - F.col("passes") * F.col("source_size"))
-    params = params.withColumnRenamed("source", "_source").select("_source", "ord", "passes", "rest", "n_blocks")
-    placed = sized.join(small_enough(params, SMALL_ROWS), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "ord", "passes", "rest", F.pmod(hash31(F.lit(seed), key, F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), F.col("n_blocks")).alias("block"), F.md5(F.concat_ws("|", F.lit(seed), F.lit("doc"), F.col("doc_id").cast("string"))).alias("doc_key")
-    )
+    params = save(params.withColumnRenamed("source", "of_source").select("of_source", "source_size", "target", "ord", "passes", "rest", "n_blocks"), "mix-params")
+    placed = _placed(sized, params.drop("source_size", "target"), seed)
     # blocks by their keyed order: which of them the broken pass takes whole, and which in part
     per_block = placed.groupBy("ord", "block").agg(F.sum("size").alias("block_size"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
-    in_order = Window.partitionBy("ord").orderBy("block_key", "block")
-    before = F.coalesce(F.sum("block_size").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    per_block = save(
-        per_block.withColumn("block_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("block"), F.col("ord").cast("string"), F.col("block").cast("string"))))
-        .withColumn("need", F.col("rest") - before)
-        .select("ord", "block", "passes", "block_key", "need", "block_size", ((F.col("need") > 0) & (F.col("need") >= F.col("block_size"))).alias("whole"), ((F.col("need") > 0) & (F.col("need") < F.col("block_size"))).alias("part")),
-        "mix-blocks",
-    )
-    # draws: (source, pass, block), pass after pass in each pass's own order
+    per_block = per_block.withColumn("block_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("block"), F.col("ord").cast("string"), F.col("block").cast("string"))))
+    per_block = _ranked(save(per_block, "mix-blocks"), ["ord"], "block_key", ["block"], F.col("block_size")).withColumn("need", F.col("rest") - F.col("before"))
+    whole, part = (F.col("need") > 0) & (F.col("need") >= F.col("block_size")), (F.col("need") > 0) & (F.col("need") < F.col("block_size"))
+    per_block = save(per_block.select("ord", "block", "passes", "need", whole.alias("whole"), part.alias("part")), "mix-needs")
+    # draws: (source, pass, block)
     n_draws = F.col("passes") + F.when(F.col("whole") | F.col("part"), 1).otherwise(0)
-    draws = per_block.select("ord", "block", "block_key", F.posexplode(F.array_repeat(F.lit(0), n_draws)).alias("pass", "_"))
-    order = Window.partitionBy("ord").orderBy("pass", F.md5(F.concat_ws("|", F.col("block_key"), F.col("pass").cast("string"))), "block")
-    draws = save(draws.withColumn("at", F.row_number().over(order)).select("ord", "block", "pass", "at"), "mix-draws")
-    # the tree: one row per node, one number per source in each
-    quotas = draws.groupBy("ord").agg(F.count("*").alias("quota"))
-    node = quotas.agg(F.array_sort(F.collect_list(F.struct("ord", "quota"))).alias("q")).select(F.lit("").alias("path"), F.lit(0).alias("lo"), F.lit(shards).alias("hi"), F.col("q.quota").alias("quotas"), F.col("q.ord").alias("ords"))
-    for _ in range(max(0, shards - 1).bit_length()):
-        node = save(_split(node, seed), "mix-tree")
-    leaves = node.select("lo", F.explode(F.arrays_zip("ords", "quotas")).alias("x")).select(F.col("lo").alias("shard"), F.col("x.ords").alias("ord"), F.col("x.quotas").alias("quota"))
-    upto = F.sum("quota").over(Window.partitionBy("ord").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    ends = leaves.withColumn("end", upto).groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends"))
-    # the first shard whose run ends at or after a draw's place takes it
-    dealt = draws.join(ends, "ord").select("ord", "block", "pass", F.element_at(F.filter("ends", lambda e: e["end"] >= F.col("at")), 1)["shard"].alias("shard"))
-    by_block = save(
-        per_block.join(dealt.groupBy("ord", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws")), ["ord", "block"], "left").select("ord", "block", "part", "need", F.col("passes").alias("full"), "draws"), "mix-dealt"
-    )
+    draws = _deal(per_block.select("ord", "block", F.posexplode(F.array_repeat(F.lit(0), n_draws)).alias("pass", "one")), shards, seed)
     # in a block that is taken in part, documents in keyed order while that brings the words nearer to the target
-    joined = placed.join(small_enough(by_block, SMALL_ROWS), ["ord", "block"])
+    partly = placed.join(small_enough(per_block.filter("part").select("ord", "block", "need"), SMALL_ROWS), ["ord", "block"])
+    last = F.struct("doc_key", "doc_id", "size")
     own = Window.partitionBy("ord", "block").orderBy("doc_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    partly = joined.filter("part").withColumn("before", F.coalesce(F.sum("size").over(own), F.lit(0))).withColumn("in_part", F.col("before") + F.col("size") / 2 <= F.col("need")).drop("before")
-    rows = partly.unionByName(joined.filter("not part").withColumn("in_part", F.lit(True)))
-    got = F.filter(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>")), lambda d: (d["pass"] < F.col("full")) | F.col("in_part"))
+    cuts = partly.withColumn("before", F.coalesce(F.sum("size").over(own), F.lit(0))).filter(F.col("before") + F.col("size") / 2 <= F.col("need")).groupBy("ord", "block").agg(F.max(last).alias("cut"))
+    dealt = draws.groupBy("ord", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard"))).alias("draws"))
+    made = per_block.join(dealt, ["ord", "block"]).join(cuts, ["ord", "block"], "left")
+    return params, save(made.select("ord", "block", F.col("passes").alias("full"), F.col("part"), "cut", "draws"), "mix-dealt")
+
+
+def _placements(rows: DataFrame, blocks: DataFrame, seed: str) -> DataFrame:
+    """Rows of _placed() with placements: an array of (pass, shard, order), one for each copy."""
+    joined = rows.join(small_enough(blocks, SMALL_ROWS), ["ord", "block"], "left")
+    in_part = ~F.col("part") | F.coalesce(F.struct("doc_key", "doc_id", "size") <= F.col("cut"), F.lit(False))
+    got = F.filter(F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int>>")), lambda d: (d["pass"] < F.col("full")) | in_part)
     entry = lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard"), F.md5(F.concat_ws("|", F.lit(seed), d["shard"].cast("string"), d["pass"].cast("string"), F.col("doc_key"))).alias("order"))
-    rows = rows.select("doc_id", "source", "size", "ord", F.transform(got, entry).alias("placements"))
-    known = targets.select("ord", "source_size", "target")
-    return rows.join(small_enough(known, SMALL_ROWS), "ord").select("doc_id", "source", "size", "source_size", "target", F.size("placements").alias("copies"), (F.col("size") * F.size("placements")).alias("taken"), "placements")
+    return joined.withColumn("placements", F.transform(got, entry))
+
 
+def mix(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, seed: str = "mix-1", block_docs: int = 32, max_passes: int = MAX_PASSES) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target, copies, taken, and placements: an array of (pass, shard,
+    order) with one entry for each copy that the mix takes.
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    A source takes whole passes over its documents and of one more pass its first blocks in a permuted order, the
+    last of them in part, so that its words come within one document of its target. Rows with a null text or without
+    words have size 0; they come with the passes and blocks they fall in. Repeated rows count each, but are taken or
+    left together; ties of the hash order go by id. An empty table gives an empty result; other columns are ignored.
+    Runs agree.
+    """
+    sized = save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    params, blocks = _plan(sized, weights, shards, seed, block_docs, max_passes)
+    rows = _placements(_placed(sized, params, seed), blocks, seed)
+    return rows.select("doc_id", "source", "size", "source_size", "target", F.size("placements").alias("copies"), (F.col("size") * F.size("placements")).alias("taken"), "placements")
+
+
+def mixed_documents(docs: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), shards: int = 64, seed: str = "mix-1", block_docs: int = 32, max_passes: int = MAX_PASSES) -> DataFrame:
     """The mix itself: a row of docs for each copy taken, with its shard and its place's key within the shard.
 
-    Rows that share an id get their own placements each, by the order of size, source and text. Columns of docs named
-    shard and shard_order are replaced.
+    Texts stay where they are if the table of blocks can be broadcast. Columns of docs named shard and shard_order are
+    replaced; others stay, whatever their names.
     """
-    nth = lambda *by: F.row_number().over(Window.partitionBy("_id").orderBy(*by))
-    own = docs.withColumn("_id", F.col("doc_id")).withColumn("_size", n_words(F.col("text")))
-    own = own.withColumn("_nth", nth("_size", "source", F.xxhash64("text"))).drop("_size")
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), "size", "source", "placements").withColumn("_nth", nth("size", "source"))
-    taken = taken.filter(F.size("placements") > 0).select(F.col("_id").alias("_tid"), F.col("_nth").alias("_tnth"), "placements")
-    rows = own.join(taken, own["_id"].eqNullSafe(taken["_tid"]) & (own["_nth"] == taken["_tnth"]))
-    return rows.withColumn("_p", F.explode("placements")).select(*[own[c] for c in docs.columns if c not in ("shard", "shard_order")], F.col("_p.shard").alias("shard"), F.col("_p.order").alias("shard_order"))
+    sized = save(docs.select("doc_id", "source", n_words(F.col("text")).alias("size")), "mix-sizes")
+    params, blocks = _plan(sized, weights, shards, seed, block_docs, max_passes)
+    (row,) = unused(docs, "row")
+    own = docs.select(F.struct(*docs.columns).alias(row), "doc_id", "source", n_words(F.col("text")).alias("size"))
+    taken = _placements(_placed(own, params, seed), blocks, seed).select(row, F.explode("placements").alias("placement"))
+    return taken.select(*[F.col(row)[c].alias(c) for c in docs.columns if c not in ("shard", "shard_order")], F.col("placement.shard").alias("shard"), F.col("placement.order").alias("shard_order"))

@@ -344,13 +344,13 @@ def pseudonyms(found: Column, key: str) -> Column:
     return F.transform(moved, lambda x: F.struct(x["kind"].alias("kind"), x["v"].alias("original"), F.when(x["kind"].isNotNull(), _back(x["v"], x["kind"], x["fresh"])).otherwise(x["v"]).alias("pseudonym")))
 
 
-def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFrame:
-    """docs with pseudonyms in their texts, and pii: an array of (kind, original, pseudonym) in text order.
+def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", pii_col: str = "pii") -> DataFrame:
+    """docs with pseudonyms in their texts, and pii_col: an array of (kind, original, pseudonym) in text order.
 
     key: a secret; who has it can go back from pseudonyms to values. It stands in the plan, so plans and event logs
     are to be kept like it. Null texts stay null, with an empty array; texts without valid values stay as they are.
     Repeated rows and ties are treated alike, an empty table gives none, and other columns stay, whatever their names
-    (one named pii is replaced). Numbers that fail their check digits, dates that don't exist and addresses with
+    (one named like pii_col is replaced). Numbers that fail their check digits, dates that don't exist and addresses with
     parts over 255 aren't personal data; neither are ten digits without any punctuation.
     """
     if not key:
@@ -363,4 +363,4 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text") -> DataFr
     between = F.split(text, ANY, -1)
     filled = F.array_join(F.zip_with(between, F.concat(F.transform(fresh_col, lambda x: x["pseudonym"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
     pii = F.coalesce(F.filter(fresh_col, lambda x: x["kind"].isNotNull()), F.array().cast("array<struct<kind:string,original:string,pseudonym:string>>"))
-    return made.withColumns({"pii": pii, text_col: F.when(F.size(found_col) > 0, filled).otherwise(text)}).drop(found_col, fresh_col)
+    return made.withColumns({pii_col: pii, text_col: F.when(F.size(found_col) > 0, filled).otherwise(text)}).drop(found_col, fresh_col)

@@ -65,13 +65,17 @@ def test_mix_meets_targets(spark, seed):
 
 
 def test_tree_deals_exact_quotas(spark):
-    """Blocks of a source go to shards as a shuffle would deal them: all of them, in even shares."""
-    docs = [(i, "w w w", "en", "ab"[i % 2], 0) for i in range(4000)]
-    rows = mixing.mix(frame(spark, docs), shards=8, block_docs=4).select("source", F.explode("placements").alias("p")).select("source", "p.shard").groupBy("source", "shard").count().collect()
-    per: dict = {}
-    for r in rows:
-        per[r["shard"]] = per.get(r["shard"], 0) + r["count"]
-    assert sorted(per) == list(range(8)) and max(per.values()) < 1.3 * min(per.values())
+    """Every shard has its share of all draws, and each source's blocks are spread as a shuffle of all draws would."""
+    draws = spark.sql("SELECT CAST(1 + (id % 4 = 0)::INT AS INT) AS ord, id AS block, CAST(0 AS INT) AS pass FROM range(400)")
+    counts = []
+    for seed in range(40):
+        rows = mixing._deal(draws, 8, f"s{seed}").groupBy("shard").agg(F.count("*").alias("n"), F.sum((F.col("ord") == 2).cast("int")).alias("k")).collect()
+        assert sorted(r["shard"] for r in rows) == list(range(8)) and sum(r["n"] for r in rows) == 400
+        assert all(r["n"] in (49, 50, 51) for r in rows)
+        counts += [r["k"] for r in rows]
+    # of 400 draws 100 are of the second source: a shard of 50 has 12.5 of them, with the variance of the law
+    mean, variance = 50 * 100 / 400, 50 * 0.25 * 0.75 * 350 / 399
+    assert abs(np.mean(counts) - mean) < 0.05 and abs(np.var(counts) / variance - 1) < 0.3
 
 
 def test_mixed_documents_and_odd_rows(spark):
@@ -383,13 +387,24 @@ def test_jaccard_odd_rows(spark):
     assert sorted(map(tuple, nulls.collect()), key=repr) == [(1, 1, 1), (None, 1, None)]
 
 
+def test_one_row_of_each_component(spark):
+    """Different texts under one id are judged apart; repeated rows and copies go but for one; null ids stay."""
+    a, b = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, a, "en", "x", 1), (1, b, "en", "x", 1), (1, b, "en", "x", 1), (2, a, "en", "y", 1), (3, b + " more", "en", "y", 1), (None, a, "en", "y", 1), (None, a, None, None, None), (4, None, "en", "y", 0), (5, "", "en", "y", 0), (6, "", "en", "y", 0), (7, "c d", "en", "y", 0)]
+    docs = frame(spark, rows, CLASHES)
+    kept = jaccard.without_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr) == sorted([(1, a), (1, b), (None, a), (None, a), (4, None), (5, ""), (6, ""), (7, "c d")], key=repr)
+    assert jaccard.without_near_duplicates(frame(spark, EMPTY)).count() == 0
+
+
 # --- pipeline
 
 
 def test_pipeline_stages_by_brute_force(spark):
     import corpus_pipeline as p
 
-    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumn("shard", F.lit("mine"))
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({c: F.lit("mine") for c in CLASHES})
     rows = {r["doc_id"]: r for r in docs.collect()}
     model = langid.train(docs.filter(~langid.is_held_out(F.col("doc_id"))))
     one = p.language(spark, docs, DATA).cache()
@@ -401,7 +416,7 @@ def test_pipeline_stages_by_brute_force(spark):
     assert sorted(r["doc_id"] for r in two.collect()) == sorted(want)
     three = p.personal_data(spark, two, DATA).cache()
     assert three.columns == docs.columns and three.count() == two.count()
-    for i, x in ((r["doc_id"], m) for r in pii.pseudonymise(two).select("doc_id", F.explode("pii").alias("m")).collect() for m in [r["m"]]):
+    for i, x in ((r["doc_id"], m) for r in pii.pseudonymise(two, pii.key_of(spark)).select("doc_id", F.explode("pii").alias("m")).collect() for m in [r["m"]]):
         assert x["original"] in rows[i]["text"] and x["pseudonym"] != x["original"]
     four = p.mixture(spark, three, DATA).cache()
     con = duck(documents=three.select("doc_id", "text", "source").toPandas())
