@@ -72,6 +72,56 @@ def test_outliers_go_and_the_rest_stays(spark):
     assert not any(kept[1000 + i] for i in range(20)) and sum(kept[i] for i in range(300)) >= 298
 
 
+def brute_volume(x, at):
+    """Mean, inverse factor, and root of the determinant of the regularised covariance of some rows."""
+    own = x[at]
+    m = own.sum(axis=0) / len(own)
+    cov = own.T @ own / len(own) - np.outer(m, m) + np.diag(np.square(quality.FLOORS))
+    factor = np.linalg.cholesky(cov)
+    return m, np.linalg.inv(factor), np.prod(np.diag(factor))
+
+
+def brute_nearest(x, m, inv):
+    """Rows up to the bin of distances that completes three quarters."""
+    b = np.floor(quality.PER_DOUBLING * np.log2(1 + np.square((x - m) @ inv.T).sum(axis=1)))
+    upto = np.sort(b)[int(np.ceil(quality.SHARE * len(x))) - 1]
+    return b <= upto
+
+
+def brute_search(x, m, inv):
+    vol = np.inf
+    while True:
+        new = brute_volume(x, brute_nearest(x, m, inv))
+        if not new[2] < vol * 0.999999999:
+            return m, inv, vol
+        m, inv, vol = new
+
+
+def test_estimates_by_brute_force(spark):
+    """Against the same search in numpy, and hundreds of random starts of it."""
+    rng = np.random.default_rng(5)
+    groups = {}
+    for g, (n, bad) in {"a": (200, 40), "b": (90, 0), "c": (300, 70)}.items():
+        good = rng.normal([1400, 410, 0, 0, 0], [220, 15, 4, 2, 3], (n, 5))
+        junk = rng.normal([1400, 500, 300, 250, 60], [200, 20, 20, 60, 10], (bad, 5))
+        groups[g] = np.rint(np.concatenate([good, junk]))
+    rows = [(g, *map(int, v)) for g, x in groups.items() for v in x]
+    found = {r["g"]: r for r in quality.estimates(spark.createDataFrame(rows, "g string, " + ", ".join(f"x{j} long" for j in range(5)))).collect()}
+    for g, x in groups.items():
+        middle = lambda q: np.array([sorted(np.floor(v / quality.BIN))[int(np.ceil(q * len(v))) - 1] * quality.BIN + quality.BIN // 2 for v in x.T])  # noqa: E731, B023
+        sd = np.maximum((middle(0.75) - middle(0.25)) / 1.349, quality.FLOORS)
+        starts = [np.diag(1 / sd), np.diag([1 / sd[0], 0, 0, 0, 0]), np.diag([0, 1 / sd[1], 0, 0, 0]), np.zeros((5, 5))]
+        m, inv, vol = min((brute_search(x, middle(0.5), s) for s in starts), key=lambda e: e[2])
+        r = found[g]
+        assert r["vol"] == pytest.approx(vol) and [r[f"m{j}"] for j in range(5)] == pytest.approx(list(m))
+        assert [r[f"i{j}_{k}"] for j, k in quality.PAIRS] == pytest.approx([inv[j, k] for j, k in quality.PAIRS])
+        best = vol
+        for _ in range(200):
+            begin = brute_volume(x, rng.choice(len(x), 12, replace=False))
+            best = min(best, brute_search(x, begin[0], begin[1])[2])
+        assert vol <= 1.02 * best
+
+
 def test_chi_squared():
     assert quality.chi2_cdf(6.6257, 5) == pytest.approx(0.75, abs=1e-4) and quality.chi2_quantile(0.999, 5) == pytest.approx(20.515, abs=1e-3)
 
