@@ -43,6 +43,35 @@ SENTENCES = {
     "cc-by-sa-4": "Licensed under CC BY-SA 4.0",
     "cc-by-4-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "mpl2-form": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
+    "gpl-title": "GNU GENERAL PUBLIC LICENSE",
+    "lgpl-title": "GNU LESSER GENERAL PUBLIC LICENSE",
+    "agpl-title": "GNU AFFERO GENERAL PUBLIC LICENSE",
+    "apache-title": "Apache License",
+    "gpl2-date": "Version 2, June 1991",
+    "gpl3-date": "Version 3, 29 June 2007",
+    "lgpl21-date": "Version 2.1, February 1999",
+    "agpl3-date": "Version 3, 19 November 2007",
+    "apache2-date": "Version 2.0, January 2004",
+    "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "mpl2-full": "Mozilla Public License Version 2.0",
+    "mpl2-copy": "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/",
+    "epl2-made": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0",
+    "epl2-full": "Eclipse Public License - v 2.0",
+    "bsd-as-is": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    "boost-line": "Distributed under the Boost Software License, Version 1.0",
+    "boost-full": "Boost Software License - Version 1.0 - August 17th, 2003",
+    "artistic2-full": "The Artistic License 2.0",
+    "perl-terms": "you can redistribute it and/or modify it under the same terms as Perl itself",
+    "cc0-full": "CC0 1.0 Universal",
+    "cc0-dedicated": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide",
+    "cc-by-sa-4-work": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
+    "cc-by-nc-4-work": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "cc-by-nd-4-work": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "Copyright holders reserve all rights",
     "reserved-line": "All rights reserved",
@@ -55,10 +84,40 @@ RULES = [
     ("MIT", True, ["mit-title-short", "mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", True, ["mit-grant", "mit-notice", "mit-as-is"]),
     ("MIT", True, ["mit-grant", "mit-notice"]),
+    ("BSD-3-Clause", True, ["bsd-conditions-reserved", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"]),
+    ("BSD-2-Clause", True, ["bsd-conditions-reserved", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    ("BSD-3-Clause", True, ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-as-is"]),
+    ("BSD-2-Clause", True, ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-as-is"]),
     ("BSD-3-Clause", True, ["bsd-conditions-reserved", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", True, ["bsd-conditions-reserved", "bsd-source", "bsd-binary"]),
     ("BSD-3-Clause", True, ["bsd-conditions", "bsd-source", "bsd-binary", "bsd-endorse"]),
     ("BSD-2-Clause", True, ["bsd-conditions", "bsd-source", "bsd-binary"]),
+    ("Apache-2.0", True, ["apache-title", "apache2-date"]),
+    ("GPL-2.0", False, ["gpl-title", "gpl2-date"]),
+    ("GPL-3.0", False, ["gpl-title", "gpl3-date"]),
+    ("LGPL-2.1", False, ["lgpl-title", "lgpl21-date"]),
+    ("LGPL-3.0", False, ["lgpl-title", "gpl3-date"]),
+    ("AGPL-3.0", False, ["agpl-title", "agpl3-date"]),
+    ("MPL-2.0", False, ["mpl2-full"]),
+    ("EPL-2.0", False, ["epl2-full"]),
+    ("BSL-1.0", True, ["boost-full"]),
+    ("Artistic-2.0", True, ["artistic2-full"]),
+    ("CC0-1.0", True, ["cc0-full"]),
+    ("CC0-1.0", True, ["cc0-dedicated"]),
+    ("LGPL-2.1-or-later", False, ["lgpl21-terms", "lgpl-warranty"]),
+    ("LGPL-3.0-or-later", False, ["lgpl3-terms", "lgpl-warranty"]),
+    ("AGPL-3.0-or-later", False, ["agpl3-terms", "gpl-warranty"]),
+    ("LGPL-2.1-or-later", False, ["lgpl21-terms"]),
+    ("LGPL-3.0-or-later", False, ["lgpl3-terms"]),
+    ("AGPL-3.0-or-later", False, ["agpl3-terms"]),
+    ("Zlib", True, ["zlib-as-is", "zlib-grant"]),
+    ("BSL-1.0", True, ["boost-line"]),
+    ("Artistic-1.0-Perl OR GPL-1.0-or-later", True, ["perl-terms"]),
+    ("EPL-2.0", False, ["epl2-made"]),
+    ("CC-BY-SA-4.0", False, ["cc-by-sa-4-work"]),
+    ("CC-BY-NC-4.0", False, ["cc-by-nc-4-work"]),
+    ("CC-BY-ND-4.0", False, ["cc-by-nd-4-work"]),
+    ("MPL-2.0", False, ["mpl2-form", "mpl2-copy"]),
     ("GPL-3.0-or-later", False, ["gpl3-terms", "gpl-warranty"]),
     ("GPL-2.0-or-later", False, ["gpl2-terms", "gpl-warranty"]),
     ("GPL-3.0-or-later", False, ["gpl3-terms"]),
@@ -78,8 +137,21 @@ RULES = [
     ("all-rights-reserved", False, ["reserved"]),
     ("all-rights-reserved", False, ["reserved-line"]),
 ]
-#: Every known sentence has one of these; other texts aren't parted at all.
-HINT = "licen[sc]e|copyright|redistribut|warranty|permission|public domain|reserve"
+#: The short form of licences in source files, and whether they let anyone use the text for any purpose.
+SHORT_FORMS = {"0BSD": True, "AGPL-3.0-only": False, "AGPL-3.0-or-later": False, "Apache-2.0": True, "BSD-2-Clause": True, "BSD-3-Clause": True, "BSL-1.0": True, "CC-BY-4.0": True, "CC-BY-SA-4.0": False, "CC0-1.0": True, "EPL-2.0": False, "GPL-2.0-only": False, "GPL-2.0-or-later": False, "GPL-3.0-only": False, "GPL-3.0-or-later": False, "ISC": True, "LGPL-2.1-only": False, "LGPL-2.1-or-later": False, "LGPL-3.0-or-later": False, "MIT": True, "MPL-2.0": False, "Unlicense": True, "Zlib": True}
+SENTENCES |= {f"spdx-{x.lower().replace('.', '-')}": f"SPDX-License-Identifier: {x}" for x in SHORT_FORMS}
+RULES += [(x, free, [f"spdx-{x.lower().replace('.', '-')}"]) for x, free in SHORT_FORMS.items()]
+#: Slots of normalised sentences, and what they count as: names of holders, by which notices differ.
+SLOTS = [
+    ("^neither the name of .* nor the names of its contributors may be used", "neither the name of the copyright holder nor the names of its contributors may be used"),
+    ("^the name of .* may not be used to endorse", "neither the name of the copyright holder nor the names of its contributors may be used to endorse"),
+    ("^(this software is provided by) .* (as is and any express or implied warranties)", r"\1 the copyright holders and contributors \2"),
+    ("^to the extent possible under law .* (?:has|have) (?:waived|dedicated) all copyright and related (?:or|and) neighboring rights to .*$", "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide"),
+    ("^(this program and the accompanying materials are made available under the terms of the eclipse public license) v(?:ersion)? ?(2 0)", r"\1 \2"),
+    ("^this (program|library|software|package) is (free software) (you can redistribute)", r"\3"),
+]
+#: Every rule has a sentence with one of these; other texts aren't parted at all.
+HINT = "licen[sc]e|cc0|copyright|redistribut|warranty|permission|public domain|reserve"
 SPACE = r"[ \t\n\x0B\f\r]"
 SEP = "\x01"
 
@@ -89,12 +161,19 @@ def normalise(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def slotted(norm: str) -> str:
+    """A normalised sentence with its slots as they are known."""
+    for pattern, put in SLOTS:
+        norm = re.sub(pattern, put, norm)
+    return norm
+
+
 def pieces(sentence: str) -> list[str]:
     """The normalised pieces that a text's parting makes of a sentence."""
-    return [normalise(s) for s in re.split(rf"[.;:!?]{SPACE}+|\n{SPACE}*\n", sentence)]
+    return [slotted(normalise(s)) for s in re.split(rf"[.;:!?]{SPACE}+|\n{SPACE}*\n", sentence)]
 
 
-KNOWN = {normalise(s): k for k, s in SENTENCES.items()}
+KNOWN = {slotted(normalise(s)): k for k, s in SENTENCES.items()}
 # a piece that is known already, or belongs to two sentences, keeps its first identifier
 for _k, _s in SENTENCES.items():
     for _n, _piece in enumerate(pieces(_s) if len(pieces(_s)) > 1 else [], 1):
@@ -112,7 +191,12 @@ def rule_pattern(sentences: list[str]) -> str:
 
 def _identifiers(text: Column) -> Column:
     lookup = F.create_map(*[F.lit(x) for kv in KNOWN.items() for x in kv])
-    norm = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+    def norm(s: Column) -> Column:
+        out = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
+        for pattern, put in SLOTS:
+            out = F.regexp_replace(out, pattern, put.replace("\\", "$"))
+        return out
+
     ident = lambda s: F.try_element_at(lookup, norm(s))
     sentences = F.split(F.regexp_replace(F.regexp_replace(text, rf"([.;:!?]){SPACE}+", f"$1{SEP}"), rf"\n{SPACE}*\n", SEP), SEP)
     lines = lambda s: F.filter(F.transform(F.split(s, "\n"), ident), lambda x: x.isNotNull())
@@ -148,7 +232,13 @@ def oracle() -> str:
     """The same in DuckDB SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({q(k)}, {q(v)})" for k, v in KNOWN.items())
-    norm = lambda s: f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
+
+    def norm(s: str) -> str:
+        out = f"trim(regexp_replace(lower({s}), '[^a-z0-9]+', ' ', 'g'))"
+        for pattern, put in SLOTS:
+            out = f"regexp_replace({out}, {q(pattern)}, {q(put)})"
+        return out
+
     steps, last = [], "z"
     for n, (_, _, sentences) in enumerate(RULES):
         p, gaps = q(rule_pattern(sentences)), "".join(f"\\{k + 1}" for k in range(len(sentences)))
