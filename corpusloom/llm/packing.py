@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 from .common import save
 from .encode import WordEncoder
 
-#: Pieces of one length are numbered in shards of about so many rows.
-SHARD_ROWS = 50_000
+#: Pieces of one length are numbered in shards of about so many rows, whatever they are.
+SHARD_ROWS = 2_000
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
@@ -120,34 +120,36 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_i
                             out[name].append(x)
                 if not with_ids:
                     del out["ids"]
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
+                yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", part.column("doc_id").type), *fields]))
 
-    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
-    schema = pa.schema(fields + [("ids", pa.list_(pa.int32()))] * with_ids)
-    ddl = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(cut, ddl)
+    fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+    fields += [("ids", pa.list_(pa.int32()))] * with_ids
+    ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
+    return docs.select("doc_id", "text").mapInArrow(cut, ddl)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset): a row per piece.
 
     A null text counts as empty and gives the end id alone; only documents over the capacity are cut. Repeated rows
-    are packed each; ties between pieces of one length go by id, place and checksum. An empty table gives none.
-    Columns other than doc_id and text are ignored. with_ids adds the ids themselves, for writing the sequences.
+    are packed each; pieces of one length are numbered as they were written, which nothing else hangs on. An empty
+    table gives none. doc_id keeps its type; columns other than doc_id and text are ignored. with_ids adds the ids themselves, for writing the sequences.
     """
-    pieces = save(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, with_ids=with_ids), "pack-pieces")
+    made = token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, with_ids=with_ids)
+    pieces = save(made.withColumn("row", F.monotonically_increasing_id()), "pack-pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    runs = docs.sparkSession.createDataFrame(plan(counts, capacity), "length bigint, first bigint, sequence bigint, each bigint, at bigint")
+    spark = docs.sparkSession
+    runs = spark.createDataFrame(plan(counts, capacity), "length bigint, first bigint, sequence bigint, each bigint, at bigint")
     by_length = runs.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("first", "sequence", "each", "at"))).alias("runs"))
     # the number of a piece among those of its length: within a shard, after the shards before
-    shards = max(1, sum(counts.values()) // SHARD_ROWS)
-    keyed = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
-    own = Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")
+    shards = spark.createDataFrame([(x, -(-n // SHARD_ROWS)) for x, n in counts.items()], "length bigint, shards bigint")
+    keyed = pieces.join(F.broadcast(shards), "length").withColumn("shard", F.pmod(F.xxhash64("row"), F.col("shards"))).drop("shards")
+    own = Window.partitionBy("length", "shard").orderBy("row")
     before = Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes = keyed.groupBy("length", "shard").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
     number = keyed.withColumn("r", F.row_number().over(own) - 1).join(sizes, ["length", "shard"]).withColumn("r", F.col("r") + F.col("before"))
     # the plan has a row per length, at most capacity of them, and its runs are bounded as plan() says
     placed = number.join(F.broadcast(by_length), "length").withColumn("run", F.element_at(F.filter("runs", lambda x: x["first"] <= F.col("r")), -1)).withColumn("r", F.col("r") - F.col("run.first"))
     return placed.select(
-        *pieces.columns, (F.col("run.sequence") + F.floor(F.col("r") / F.col("run.each"))).cast("bigint").alias("sequence_id"), (F.col("run.at") + F.col("r") % F.col("run.each") * F.col("length")).cast("bigint").alias("offset")
+        *made.columns, (F.col("run.sequence") + F.floor(F.col("r") / F.col("run.each"))).cast("bigint").alias("sequence_id"), (F.col("run.at") + F.col("r") % F.col("run.each") * F.col("length")).cast("bigint").alias("offset")
     )

@@ -182,6 +182,62 @@ def test_plan_places_all_gaplessly():
                 assert end <= cap
 
 
+def brute_best_fit(lengths, capacity):
+    """Piece by piece: large ones, from the longest down, with the longest that fits beside; others to the smallest gap."""
+    large, small = sorted((x for x in lengths if 3 * x > capacity), reverse=True), sorted((x for x in lengths if 3 * x <= capacity), reverse=True)
+    bins = []
+    while large:
+        x = large.pop(0)
+        mate = next((k for k, y in enumerate(large) if x + y <= capacity), None)
+        bins.append([x] if mate is None else [x, large.pop(mate)])
+    for x in small:
+        fits = [b for b in bins if sum(b) + x <= capacity]
+        if not fits:
+            bins.append([])
+            fits = [bins[-1]]
+        max(fits, key=sum).append(x)
+    return sorted(sorted(b) for b in bins)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_plan_by_brute_force(seed):
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 30, 97, 256])
+    lengths = [min(capacity, max(1, int(rng.expovariate(3 / capacity)))) for _ in range(rng.randint(1, 300))]
+    counts: dict = {}
+    for x in lengths:
+        counts[x] = counts.get(x, 0) + 1
+    runs: dict = {}
+    for r in packing.plan(counts, capacity):
+        runs.setdefault(r[0], []).append(r)
+    bins: dict = {}
+    for x, n in counts.items():
+        for k in range(n):
+            _, first, sequence, each, at = max((r for r in runs[x] if r[1] <= k), key=lambda r: r[1])
+            bins.setdefault(sequence + (k - first) // each, []).append((at + (k - first) % each * x, x))
+    for own in bins.values():
+        own.sort()
+        assert all(a + x == b for (a, x), (b, _) in zip(own, own[1:])) and own[0][0] == 0
+    # of gaps of one size any will do, so the sequences' fillings are what must agree, and the pairs of large pieces
+    want = brute_best_fit(lengths, capacity)
+    assert sorted(sum(x for _, x in own) for own in bins.values()) == sorted(map(sum, want))
+    pairs = lambda bs: sorted(tuple(sorted(x for x in b if 3 * x > capacity)) for b in bs)
+    assert pairs([x for _, x in own] for own in bins.values()) == pairs(want)
+
+
+def test_packing_many_copies_and_other_ids(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ROWS", 7)
+    docs = spark.createDataFrame([(f"d{i % 9}", "one two three" if i % 4 else None) for i in range(200)], "doc_id string, text string")
+    rows = packing.pack(docs, vocabulary(WORD_VOCABULARY), capacity=16).collect()
+    assert len(rows) == 200 and {r["doc_id"] for r in rows} == {f"d{i}" for i in range(9)}
+    own: dict = {}
+    for r in rows:
+        own.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for x in own.values():
+        x.sort()
+        assert x[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(x, x[1:])) and sum(x[-1]) <= 16
+
+
 def test_encoder_equals_library(word_lib):
     rng = random.Random(3)
     alphabet = [chr(i) for i in range(0x20, 0x180)] + [" ", "\n", "'s", "'LL", "İ", "ß", "é", "漢", "<|startoftext|>", "\x85", "١"]
