@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -136,3 +137,22 @@ def rank_correlation(pairs: DataFrame, x: str, y: str) -> DataFrame:
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count("*").over(Window.partitionBy(c)) - 1) / 2
     ranked = pairs.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(rank(x).alias("_x"), rank(y).alias("_y"))
     return ranked.agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("r")).select("n", F.when(F.col("n") >= 3, F.col("r")).alias("rho"))
+
+
+def leak_ranking(leaks: DataFrame) -> DataFrame:
+    """Features by their largest leak over all views, the largest first; without one, a feature isn't listed."""
+    top = leaks.groupBy("feature").agg(F.max("n").alias("n"), F.max("leak").alias("leak"))
+    return top.filter(F.col("leak").isNotNull()).orderBy(F.desc("leak"), "feature")
+
+
+def mean_features(rows: DataFrame, klass: str, features: Iterable[str]) -> DataFrame:
+    """Each feature's mean by class; a null value counts for none."""
+    return rows.groupBy(klass).agg(*[F.avg(f).alias(f) for f in features])
+
+
+def prefix_counts(rows: DataFrame, path: str, expected: dict[str, int]) -> DataFrame:
+    """(prefix, n, expected, as_expected): how many paths start with each prefix."""
+    names = list(expected)
+    one = rows.agg(*[F.count_if(F.startswith(F.col(path), F.lit(p))).alias(f"p{k}") for k, p in enumerate(names)])
+    each = F.array(*[F.struct(F.lit(p).alias("prefix"), F.col(f"p{k}").alias("n"), F.lit(expected[p]).cast("bigint").alias("expected")) for k, p in enumerate(names)])
+    return one.select(F.explode(each).alias("x")).select("x.*").withColumn("as_expected", F.col("n") == F.col("expected"))

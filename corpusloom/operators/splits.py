@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hash_key
+from .ranges import ranked
+from .storage import save
 
 SPLITS, SHARES = ("train", "val", "test"), (0.70, 0.15, 0.15)
 
@@ -37,11 +39,10 @@ def assign(rows: DataFrame, *, key: str, holdout: Column, blocked: Column, seed:
         flagged = flagged.withColumn("_h", F.max(F.col("_h")).over(every)).withColumn("_x", F.max(F.col("_x")).over(every))
     pool = flagged.filter(~F.col("_h"))
     clusters = pool.groupBy("cluster").agg(F.min_by("label", key).alias("_label"), F.mode("generator", True).alias("_gen"))
-    order = Window.partitionBy("_label", "_gen").orderBy(hash_key(seed, F.col("cluster")), "cluster")
-    whole = Window.partitionBy("_label", "_gen")
-    dealt = clusters.withColumn("_r", F.row_number().over(order)).withColumn("_n", F.count("*").over(whole))
-    q = quotas(F.col("_n"))
-    dealt = dealt.select("cluster", F.when(F.col("_r") <= q[0], "train").when(F.col("_r") <= q[0] + q[1], "val").otherwise("test").alias("_s"))
+    clusters = clusters.withColumn("_key", hash_key(seed, F.col("cluster")))
+    dealt = ranked(save(clusters, "split-clusters"), ["_label", "_gen"], "_key", ["cluster"])
+    q = quotas(F.col("total"))
+    dealt = dealt.select("cluster", F.when(F.col("before") < q[0], "train").when(F.col("before") < q[0] + q[1], "val").otherwise("test").alias("_s"))
     placed = flagged.join(dealt, "cluster", "left")
     split = F.when(F.col("_h"), "test").when(F.col("_x") & (F.col("_s") == "train"), "test").otherwise(F.col("_s"))
     if strict:

@@ -12,6 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _local_dir: str | None = None
+_to_clean: set[str] = set()
+
+
+def _clean(spark: SparkSession, path: str) -> None:
+    """Delete a folder while the driver's JVM still runs; lazily read results need it until then."""
+    try:
+        jvm = spark.sparkContext._jvm
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001  the application is over: its JVM may have gone first
+        return
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -23,7 +34,11 @@ def scratch_dir(spark: SparkSession) -> str:
     global _local_dir
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
-        return f"{base.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
+        path = f"{base.rstrip('/')}/corpusloom-{spark.sparkContext.applicationId}"
+        if path not in _to_clean:  # what is written there goes with the application
+            _to_clean.add(path)
+            atexit.register(_clean, spark, path)
+        return path
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if _local_dir is None:

@@ -191,15 +191,30 @@ def dup_components(spark: Session, d: str) -> DataFrame:
     return clusters(spark, d)
 
 
+_LISTED = "listed AS (SELECT 'b' || CAST(item_id AS VARCHAR) AS item_id, text FROM benchmark UNION ALL SELECT 'd' || CAST(d.doc_id AS VARCHAR), d.text FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.toxic = 1)"
+
+
 @query(
-    f"WITH {SIM}, {_simhash('benchmark', 'item_id', 'bsim')}, s AS (SELECT d.doc_id, sha256(d.text) AS sha, hi, lo FROM documents d JOIN sim ON sim.doc_id = d.doc_id), e AS (SELECT doc_id FROM s WHERE sha IN (SELECT sha256(text) FROM benchmark)), "
+    f"WITH {SIM}, {_LISTED}, {_simhash('listed', 'item_id', 'bsim')}, s AS (SELECT d.doc_id, sha256(d.text) AS sha, hi, lo FROM documents d JOIN sim ON sim.doc_id = d.doc_id), e AS (SELECT doc_id FROM s WHERE sha IN (SELECT sha256(text) FROM listed)), "
     "f AS (SELECT s.doc_id, min(bit_count(xor(s.hi, b.hi)) + bit_count(xor(s.lo, b.lo))) AS d FROM s JOIN bsim b ON bit_count(xor(s.hi, b.hi)) + bit_count(xor(s.lo, b.lo)) <= 6 GROUP BY s.doc_id) "
     "SELECT doc_id, 'sha256' AS reason FROM e UNION ALL SELECT doc_id, 'hamming ' || CAST(d AS VARCHAR) FROM f WHERE doc_id NOT IN (SELECT doc_id FROM e)"
 )
 def blocklist_hits(spark: Session, d: str) -> DataFrame:
-    bench = table(spark, d, "benchmark")
+    """Documents that a blocklist of benchmark items and toxic texts forbids: these, their copies, and what is near."""
+    toxic = docs(spark, d).join(table(spark, d, "labels").filter("toxic = 1"), "doc_id").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("item_id"), "text")
+    listed = table(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("item_id"), "text").unionByName(toxic)
     rows = ingest.with_hash(docs(spark, d)).select("doc_id", "sha").join(dedup.simhash(docs(spark, d)), "doc_id")
-    return dedup.block_hits(rows, "doc_id", ingest.with_hash(bench), dedup.simhash(bench, "item_id"))
+    return dedup.block_hits(rows, "doc_id", ingest.with_hash(listed), dedup.simhash(listed, "item_id"))
+
+
+@query(
+    f"WITH {PAIRS}, told AS (SELECT p.*, x.source = y.source AS alike FROM pairs p JOIN documents x ON x.doc_id = p.a JOIN documents y ON y.doc_id = p.b), "
+    "near AS (SELECT string_agg(t, '; ' ORDER BY t) AS examples FROM (SELECT distance || ' ' || a || ' ' || b AS t FROM told WHERE NOT alike ORDER BY distance, a, b LIMIT 5)) "
+    "SELECT count(*) FILTER (WHERE alike) AS within, count(*) FILTER (WHERE NOT alike) AS across, (SELECT coalesce(examples, '') FROM near) AS examples FROM told"
+)
+def near_dup_classes(spark: Session, d: str) -> DataFrame:
+    """Near pairs within a source and across sources, with the nearest of the latter."""
+    return dedup.pair_classes(near_dup_pairs(spark, d), docs(spark, d).select(F.col("doc_id").alias("id"), F.col("source").alias("klass")))
 
 
 @query("WITH ledger AS (SELECT DISTINCT sha256(text) AS sha FROM documents WHERE lang = 'de'), n AS (SELECT doc_id, sha256(text) AS sha, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS r FROM documents) SELECT doc_id, sha FROM n WHERE r = 1 AND sha NOT IN (SELECT sha FROM ledger)")
@@ -393,11 +408,35 @@ def geometry(spark: Session, d: str) -> DataFrame:
     return out
 
 
-@query("SELECT vec_id, CAST(0 AS DOUBLE) AS norm2, '' AS only_in FROM embeddings WHERE false")
+@query(
+    f"WITH {_V}, a AS (SELECT vec_id, round(list_sum(list_transform(e, lambda x: x * x)), 6) AS norm2 FROM v), "
+    "b AS (SELECT vec_id, round(list_sum(list_transform(e, lambda x: CASE WHEN vec_id % 10 = 0 THEN greatest(x, 0) * greatest(x, 0) ELSE x * x END)), 6) AS norm2 FROM v) "
+    "SELECT vec_id, norm2, 'first' AS only_in FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT vec_id, norm2, 'second' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)"
+)
 def feature_path_differences(spark: Session, d: str) -> DataFrame:
-    """Squared lengths by array functions and by rows: none may differ."""
+    """Squared lengths by array functions and by rows; every tenth row leaves out its negative components, and must show."""
     e = F.col("embedding")
     whole = vectors(spark, d).select("vec_id", F.round(scoring.dot(e, e), 6).alias("norm2"))
     x = F.col("x").cast("double")
-    rows = vectors(spark, d).select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.round(F.sum(x * x), 6).alias("norm2"))
+    kept = F.when(F.col("vec_id") % 10 == 0, F.greatest(x, F.lit(0.0))).otherwise(x)
+    rows = vectors(spark, d).select("vec_id", F.explode("embedding").alias("x")).groupBy("vec_id").agg(F.round(F.sum(kept * kept), 6).alias("norm2"))
     return metrics.differences(whole, rows)
+
+
+@query(f"WITH {_LABELLED} SELECT feature, n, round(leak, 6) AS leak FROM leaks WHERE leak IS NOT NULL ORDER BY leak DESC, feature")
+def leak_ranking(spark: Session, d: str) -> DataFrame:
+    """Features by their largest leak over the views of the classes."""
+    return rounded(audit.leak_ranking(audit.leak_auroc(labelled_features(spark, d), [])))
+
+
+@query(f"WITH {PROBED} SELECT lang, " + ", ".join(f"round(avg({f}), 6) AS {f}" for f in audit.PROBES) + " FROM probed GROUP BY lang")
+def mean_features_by_class(spark: Session, d: str) -> DataFrame:
+    return rounded(audit.mean_features(probed(spark, d), "lang", audit.PROBES))
+
+
+PREFIXES = {"https://": 250, "https://www": 10, "http://": 0}
+
+
+@query("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS prefix, count(*) FILTER (WHERE starts_with(url, '{p}')) AS n, CAST({n} AS BIGINT) AS expected FROM pages" for p, n in PREFIXES.items()) + ")")
+def prefix_counts(spark: Session, d: str) -> DataFrame:
+    return audit.prefix_counts(table(spark, d, "pages"), "url", PREFIXES).drop("as_expected")

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hash_key
+from ..operators.ranges import numbered
+from ..operators.storage import save
 
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp")
+IMAGE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in EXTENSIONS) + "}"
 MANIFEST = "image_path string, label int, generator string, source_dataset string, split string"
 LEDGER = (
     "image_path string, label int, generator string, family string, source_dataset string, split_hint string, src_sha256 string, out_sha256 string, src_width int, src_height int, src_format string, src_jpeg_quality int, "
@@ -22,9 +26,14 @@ LEDGER = (
 
 
 def images(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, length, content) of image files below the folder, whatever the case of their extension."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    return files.filter(F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS)).select("path", "length", "content")
+    """(path, length, content) of image files below the folder, whatever the case of their extension; others aren't read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB).load(folder).select("path", "length", "content")
+
+
+def relative(path: Column, folder: str) -> Column:
+    """A file's path below the folder, which tells files of one name in different folders apart."""
+    tail = folder.rstrip("/").split("://")[-1]
+    return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z0-9+.-]+:/*", "/"), "^.*?" + re.escape("/" + tail.lstrip("/")) + "/", "")
 
 
 def manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
@@ -86,9 +95,12 @@ def blocklist(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, lis
 
 def sample_blocks(rows: DataFrame, source: str, order: str, size: int, n: int, seed: str) -> DataFrame:
     """n blocks of neighbouring rows from each source, by a seeded hash of the block's number."""
-    numbered = rows.withColumn("block", F.floor((F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1) / size))
-    rank = F.dense_rank().over(Window.partitionBy(source).orderBy(hash_key(seed, F.col(source), F.col("block")), "block"))
-    return numbered.withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+    blocks = numbered(rows, [source], [order], "_at").withColumn("block", F.floor(F.col("_at") / size)).drop("_at")
+    blocks = save(blocks, "sample-blocks")
+    # one row per block; a window sees those of one source that may be drawn
+    rank = F.row_number().over(Window.partitionBy(source).orderBy(hash_key(seed, F.col(source), F.col("block")), "block"))
+    drawn = blocks.select(source, "block").distinct().withColumn("_r", rank).filter(F.col("_r") <= n).drop("_r")
+    return blocks.join(drawn, [source, "block"], "left_semi").select(*rows.columns, "block")
 
 
 def seeded_first(rows: DataFrame, key: str, n: int, seed: str) -> DataFrame:

@@ -39,8 +39,13 @@ def test_banded_pairs_equal_brute_force(spark):
     for i, h in enumerate(hs):
         names.setdefault(h, i)
     assert got == {(min(a, b), max(a, b), bin(g ^ h).count("1")) for g, a in names.items() for h, b in names.items() if a < b and bin(g ^ h).count("1") <= 6}
-    with pytest.raises(ValueError):
-        dedup.near_pairs(d, 8)
+    for n in (10, 10**5, 10**7, 10**9, 10**11):  # each scheme's masks find every pair, whatever makes it the cheapest
+        for threshold in (3, 6, 8):
+            masks = dedup.scheme(n, n, threshold)
+            assert all(any((g ^ h) & m == 0 for m in masks) for g in hs[:40] for h in hs[:40] if bin(g ^ h).count("1") <= threshold)
+            assert n < 10**7 or bin(masks[0]).count("1") >= 12
+    far = {tuple(r) for r in dedup.near_pairs(d, 8).collect()}
+    assert far == {tuple(r) for r in dedup.near_pairs_brute(d, 8).collect()} and far >= got
 
 
 def test_components_close_over_chains(spark):
