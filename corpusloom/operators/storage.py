@@ -47,11 +47,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dir
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
+def save(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Write df to the shared folder as Parquet and read it again: lineage ends here, and a lost
     executor costs a re-read only."""
     path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
