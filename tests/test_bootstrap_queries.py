@@ -94,3 +94,16 @@ def test_paired_spread_bootstrap(spark, runs):
     each = [tprs([r for r in clean if r["label"] == 0 or r["generator"] == g], w, at) for g in {r["generator"] for r in clean if r["label"] == 1}]
     got = registry.QUERIES["paired_spread_bootstrap"](spark, str(DATA)).first()
     assert [got["median"], got["lo"], got["hi"]] == pytest.approx(interval(np.nanmax(each, 0) - np.nanmin(each, 0)), abs=2e-6)
+
+
+def test_both_ways_agree(spark, monkeypatch):
+    """Few items by sorted scores, many by the relation of each replicate."""
+    from corpusloom.operators import bootstrap
+
+    rows = scores(spark, str(DATA)).filter("cell IN ('clean', 'jpeg_30')")
+    drawn = bootstrap.draws(items(spark, str(DATA)), ["label"], 7)
+    found = []
+    for most in (100_000, 0):
+        monkeypatch.setattr(bootstrap, "SMALL_ITEMS", most)
+        found.append({(r["b"], r["cell"]): r["tpr"] for r in bootstrap.replicate_tpr(rows, drawn, ["cell"], 0.05).collect()})
+    assert found[0].keys() == found[1].keys() and all(found[0][k] == pytest.approx(found[1][k]) for k in found[0])
