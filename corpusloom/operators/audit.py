@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from functools import reduce
 
@@ -156,3 +157,21 @@ def prefix_counts(rows: DataFrame, path: str, expected: dict[str, int]) -> DataF
     one = rows.agg(*[F.count_if(F.startswith(F.col(path), F.lit(p))).alias(f"p{k}") for k, p in enumerate(names)])
     each = F.array(*[F.struct(F.lit(p).alias("prefix"), F.col(f"p{k}").alias("n"), F.lit(expected[p]).cast("bigint").alias("expected")) for k, p in enumerate(names)])
     return one.select(F.explode(each).alias("x")).select("x.*").withColumn("as_expected", F.col("n") == F.col("expected"))
+
+
+def correlation_p(rho: float | None, n: int) -> float | None:
+    """The two-sided p value of a rank correlation of n pairs, by Student's distribution with n - 2 degrees of freedom."""
+    if rho is None or n < 3:
+        return None
+    if abs(rho) >= 1:
+        return 0.0
+    # the tail is an incomplete beta integral of x = cos(theta)^2; Simpson's rule over theta
+    nu, top, steps = n - 2, math.pi / 2, 2000
+    start = math.atan(abs(rho) * math.sqrt(nu / (1 - rho * rho)) / math.sqrt(nu))
+
+    def area(a: float, b: float) -> float:
+        h = (b - a) / steps
+        f = [math.cos(a + k * h) ** (nu - 1) if nu > 1 else 1.0 for k in range(steps + 1)]
+        return h / 3 * (f[0] + f[-1] + 4 * sum(f[1:-1:2]) + 2 * sum(f[2:-1:2]))
+
+    return area(start, top) / area(0.0, top)

@@ -175,6 +175,84 @@ def decoded(files: DataFrame, min_side: int | None = None) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, "path string, status string, height int, width int, data binary")
 
 
+#: Files that Spark's image source decodes, by the JVM's own readers.
+JVM_GLOB = "*.{[jJ][pP][gG],[jJ][pP][eE][gG],[bB][mM][pP]}"
+
+
+def decoded_folder(spark: SparkSession, folder: str, min_side: int | None = None) -> DataFrame:
+    """(path, status, height, width, data) of all image files below a folder, upright by their orientation tag.
+
+    PNG files are decoded here, JPEG and BMP files by the JVM; WebP files, and others that nothing decodes, stay with
+    status failed and no data.
+    """
+    files = images_of(spark, folder)
+    own = F.lower(F.substring_index("path", ".", -1)) == "png"
+    theirs = spark.read.format("image").option("dropInvalid", "false").option("recursiveFileLookup", "true").option("pathGlobFilter", JVM_GLOB).load(folder).select("image.*")
+
+    def upright(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("path", pa.string()), ("status", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("data", pa.binary())])
+        for batch in batches:
+            for r in (x for k in range(batch.num_rows) for x in batch.slice(k, 1).to_pylist()):
+                a, status = None, "failed"
+                if r["data"] and (r["height"] or 0) > 0:
+                    a = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
+                    a = R.to_rgb(a if a.shape[2] == 1 else a[:, :, [2, 1, 0, *range(3, a.shape[2])]])  # blue comes first
+                    a = R.oriented(a, png.exif_orientation(r["content"] or b"") or 1)
+                    status = "too_small" if min_side is not None and min(a.shape[:2]) < min_side else png.shape(r["content"])[2] if r["content"] else "ok"
+                yield pa.RecordBatch.from_pydict({"path": [r["path"]], "status": [status], "height": [None if a is None else a.shape[0]], "width": [None if a is None else a.shape[1]], "data": [None if a is None else a.tobytes()]}, schema=schema)
+
+    # both name a file by the same address, but for the number of slashes
+    key = lambda c: F.regexp_replace(c, "^([A-Za-z0-9+.-]+):/*", "$1:/")
+    # the orientation stands in the first 64 KB, the end of the file in its last bytes
+    found = files.filter(~own).select("path", key("path").alias("_key"), "content")
+    both = found.join(theirs.select(key("origin").alias("_key"), "height", "width", "nChannels", "data"), "_key", "left").drop("_key")
+    rest = both.select("path", "content", "height", "width", "nChannels", "data").mapInArrow(upright, "path string, status string, height int, width int, data binary")
+    return decoded(files.filter(own), min_side).unionByName(rest)
+
+
+def images_of(spark: SparkSession, folder: str) -> DataFrame:
+    from ..sources import readers
+
+    return readers.images(spark, folder)
+
+
+def transformed(images: DataFrame, names: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """(key, id, label, cell, png): each raster in each cell, lossless. The key is of the id and the chain, and of the seed
+    if the chain draws random numbers."""
+    from ..functions.hashing import config_hash
+    from .cells import select_cells
+
+    cells = select_cells(names)
+
+    def one(row: dict, a: np.ndarray) -> list[tuple]:
+        out = []
+        for c in cells:
+            drawn = {"seed": seed} if any(f in ("noise", "jitter") for f, _ in c.ops) else {}
+            out.append((config_hash({"id": row["id"], "chain": c.chain} | drawn), row["id"], row["label"], c.name, png.encode(R.degraded(a, row["id"], c.name, c.ops, seed))))
+        return out
+
+    return mapped(images, one, "key string, id string, label int, cell string, png binary")
+
+
+def cache_transformed(images: DataFrame, path: str, names: list[str] | None = None, seed: int = 0) -> DataFrame:
+    """The cache at path, with what it lacks of transformed() added; what it has isn't made again."""
+    spark = images.sparkSession
+    schema = "key string, id string, label int, cell string, png binary"
+    try:
+        there = spark.read.schema(schema).parquet(path).select("id", "cell").distinct()
+    except Exception as e:  # Spark tells a missing path by an analysis error
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        there = spark.createDataFrame([], "id string, cell string")
+    from .cells import select_cells
+
+    wanted = [c.name for c in select_cells(names)]
+    full = there.filter(F.col("cell").isin(wanted)).groupBy("id").agg(F.count("*").alias("n")).filter(F.col("n") >= len(wanted)).select("id")
+    fresh = transformed(images.join(full, "id", "left_anti"), names, seed).join(there, ["id", "cell"], "left_anti").select("key", "id", "label", "cell", "png")
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path).filter(F.col("cell").isin(wanted))
+
+
 PROBE = "n_bytes bigint, status string, width int, height int, n_text_chunks int, metadata_keys string, generator_marker string, has_exif boolean, has_icc boolean, exif_orientation int, jpeg_quality int"
 
 

@@ -184,25 +184,53 @@ def exif_orientation(data: bytes) -> int | None:
     return None
 
 
-#: Keywords under which generators leave their settings, and names of tools.
-GENERATOR_KEYS = ("parameters", "prompt", "workflow", "sd-metadata", "invokeai_metadata", "dream")
-TOOL_MARKERS = ("stable diffusion", "comfyui", "automatic1111", "invokeai", "midjourney", "dall-e", "novelai")
+#: Keywords of metadata under which generators leave their settings.
+GENERATOR_KEYS = (
+    "parameters", "workflow", "prompt", "software", "comment", "description",
+    "sd-metadata", "dream", "invokeai", "generation_data", "negative_prompt",
+    "model", "sampler", "steps", "cfg_scale", "seed", "xmp", "usercomment",
+)
+#: Names of tools and their settings in texts.
+TOOL_MARKERS = (
+    "stable diffusion", "stable-diffusion", "comfyui", "automatic1111", "a1111",
+    "invokeai", "midjourney", "dall-e", "dalle", "novelai", "sdxl", "flux",
+    "civitai", "lora", "denoising strength", "negative prompt", "cfg scale",
+)
+#: Markers of the frame headers of JPEG files, baseline and progressive.
+FRAMES = (0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF)
+
+
+def shape(data: bytes) -> tuple[int, int, str]:
+    """(width, height, status) by a file's headers, without decoding: ok, recovered_truncated or failed."""
+    parts, marks = chunks(data), segments(data)
+    if parts and parts[0][0] == b"IHDR" and len(parts[0][1]) >= 8 and any(k == b"IDAT" for k, _, _ in parts):
+        w, h = struct.unpack(">II", parts[0][1][:8])
+        return w, h, "ok" if parts[-1][0] == b"IEND" else "recovered_truncated"
+    for marker, body in marks:
+        if marker in FRAMES and len(body) >= 5:
+            h, w = struct.unpack(">HH", body[1:5])
+            return w, h, "ok" if data.rstrip(b"\0").endswith(b"\xff\xd9") else "recovered_truncated"
+    if data[:2] == b"BM" and len(data) >= 26:
+        w, h = struct.unpack("<ii", data[18:26])
+        return w, abs(h), "ok" if len(data) >= int.from_bytes(data[2:6], "little") else "recovered_truncated"
+    return 0, 0, "failed"
 
 
 def probe(data: bytes | None) -> dict:
     """What a file tells about itself."""
     data = data or b""
-    texts = text_chunks(data)
-    a, status = decode(data)
-    blob = " ".join(texts.values()).lower()
-    marks = segments(data)
+    texts, marks = text_chunks(data), segments(data)
+    comments = [b.decode("latin-1", "replace") for m, b in marks if m == 0xFE]
+    width, height, status = shape(data)
+    blob = " ".join([*list(texts.values())[:12], *comments]).lower()
+    keys = {x.lower() for x in texts} | ({"comment"} if comments else set())
     return {
         "n_bytes": len(data),
         "status": status,
-        "width": 0 if a is None else a.shape[1],
-        "height": 0 if a is None else a.shape[0],
+        "width": width,
+        "height": height,
         "n_text_chunks": len(texts),
-        "metadata_keys": ",".join(k for k in sorted(x.lower() for x in texts) if k in GENERATOR_KEYS)[:200],
+        "metadata_keys": ",".join(sorted(keys & set(GENERATOR_KEYS)))[:200],
         "generator_marker": ",".join(m for m in TOOL_MARKERS if m in blob)[:200],
         "has_exif": any(m == 0xE1 and b.startswith(b"Exif") for m, b in marks) or any(k == b"eXIf" for k, _, _ in chunks(data)),
         "has_icc": any(m == 0xE2 and b.startswith(b"ICC_PROFILE") for m, b in marks) or any(k == b"iCCP" for k, _, _ in chunks(data)),

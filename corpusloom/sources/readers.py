@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.hashing import hash_key
-from ..operators.ranges import numbered
-from ..operators.storage import save
+from ..operators.ranges import numbered, ranked
+from ..operators.storage import save, small_enough
 
 EXTENSIONS = ("jpg", "jpeg", "png", "webp", "bmp")
 IMAGE_GLOB = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in EXTENSIONS) + "}"
@@ -30,12 +29,6 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", IMAGE_GLOB).load(folder).select("path", "length", "content")
 
 
-def relative(path: Column, folder: str) -> Column:
-    """A file's path below the folder, which tells files of one name in different folders apart."""
-    tail = folder.rstrip("/").split("://")[-1]
-    return F.regexp_replace(F.regexp_replace(path, "^[A-Za-z0-9+.-]+:/*", "/"), "^.*?" + re.escape("/" + tail.lstrip("/")) + "/", "")
-
-
 def manifest(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
     """Rows of a CSV manifest; a malformed line or a label other than 0 and 1 is an error when it is read."""
     rows = spark.read.schema(MANIFEST).option("header", "true").option("mode", "FAILFAST").option("enforceSchema", "false").csv(path)
@@ -93,6 +86,16 @@ def blocklist(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, lis
     return raw.select(F.explode("sha256").alias("sha")), hashes, gaps
 
 
+def sample_files(spark: SparkSession, folder: str, n: int, seed: int = 0) -> DataFrame:
+    """(path, folder, length, content) of about n image files, each folder's share in proportion to its files, drawn by a
+    seeded hash of the path. Paths are listed and drawn first; contents of the drawn files alone leave their tasks."""
+    files = images(spark, folder).withColumn("folder", F.regexp_replace("path", "/[^/]*$", ""))
+    names = save(files.select("path", "folder", hash_key(seed, F.col("path")).alias("_key")), "sample-names")  # reads no contents
+    every = names.count()
+    drawn = ranked(names, ["folder"], "_key", ["path"]).filter(F.col("before") < F.ceil(F.col("total") * F.lit(n / max(1, every)))).select("path")
+    return files.join(small_enough(save(drawn, "sample-drawn"), 1_000_000), "path", "left_semi").select("path", "folder", "length", "content")
+
+
 def sample_blocks(rows: DataFrame, source: str, order: str, size: int, n: int, seed: str) -> DataFrame:
     """n blocks of neighbouring rows from each source, by a seeded hash of the block's number."""
     blocks = numbered(rows, [source], [order], "_at").withColumn("block", F.floor(F.col("_at") / size)).drop("_at")
