@@ -350,9 +350,9 @@ def ela(a: Raster, quality: int = 85) -> tuple[np.ndarray, Raster]:
 
 
 def random_score(a: Raster, seed: int = 0) -> float:
-    """Uniform in [0, 1) by a hash of the pixels."""
-    own = hashlib.blake2b(f"{a.shape}".encode() + np.ascontiguousarray(a).tobytes(), digest_size=8).digest()
-    return (int.from_bytes(hashlib.blake2b(seed.to_bytes(8, "little") + own, digest_size=8).digest(), "little") >> 11) / float(1 << 53)
+    """Uniform in [0, 1), by a generator that the pixels seed."""
+    pixels = hashlib.sha256(np.ascontiguousarray(a)).hexdigest()
+    return float(np.random.default_rng(key_seed("score", seed, a.shape, pixels)).random())
 
 
 def brightness_score(a: Raster) -> float:

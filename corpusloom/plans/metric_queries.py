@@ -225,19 +225,30 @@ def paired_bootstrap_diff(spark: Session, d: str) -> DataFrame:
     return rounded(q.withColumn("verdict", bootstrap.excludes_zero(F.col("lo"), F.col("hi"))))
 
 
+def _spread_sql(source: str, tag: str) -> str:
+    return (
+        f"clean{tag} AS (SELECT s.id, s.label, s.generator, s.score, d.b, d.w FROM {source} s JOIN draws d ON d.id = s.id WHERE s.cell = 'clean'), views{tag} AS (SELECT b, label, generator, score, w FROM clean{tag} WHERE label = 1 UNION ALL SELECT b, label, n.g, score, w FROM clean{tag} CROSS JOIN names n WHERE label = 0), "
+        f"{roc_sql(f'views{tag}', 'b, generator', 'w', f'roc{tag}')}, t{tag} AS (SELECT b, generator, {tpr_sql(0.05)} AS tpr FROM roc{tag} GROUP BY b, generator), s{tag} AS (SELECT b, max(tpr) - min(tpr) AS spread FROM t{tag} GROUP BY b)"
+    )
+
+
 @query(
-    f"WITH {SCORES}, items2 AS (SELECT id, CASE WHEN label = 0 THEN 'real' ELSE generator END AS stratum FROM items), {_draws_sql('stratum', 'draws', 0, PAIRED_REPLICATES).replace('FROM items)', 'FROM items2)')}, names AS (SELECT DISTINCT generator AS g FROM items WHERE label = 1), "
-    f"clean AS (SELECT s.id, s.label, s.generator, s.score, d.b, d.w FROM scores s JOIN draws d ON d.id = s.id WHERE s.cell = 'clean'), views AS (SELECT b, label, generator, score, w FROM clean WHERE label = 1 UNION ALL SELECT b, label, n.g, score, w FROM clean CROSS JOIN names n WHERE label = 0), "
-    f"{roc_sql('views', 'b, generator', 'w')}, t AS (SELECT b, generator, {tpr_sql(0.05)} AS tpr FROM roc GROUP BY b, generator), s AS (SELECT b, max(tpr) - min(tpr) AS spread FROM t GROUP BY b) "
-    "SELECT round(quantile_cont(spread, 0.5), 6) AS median, round(quantile_cont(spread, 0.025), 6) AS lo, round(quantile_cont(spread, 0.975), 6) AS hi FROM s"
+    f"WITH {SCORES}, {scores_sql('b', 'scores2')}, items2 AS (SELECT id, CASE WHEN label = 0 THEN 'real' ELSE generator END AS stratum FROM items), {_draws_sql('stratum', 'draws', 0, PAIRED_REPLICATES).replace('FROM items)', 'FROM items2)')}, names AS (SELECT DISTINCT generator AS g FROM items WHERE label = 1), "
+    f"{_spread_sql('scores', '1')}, {_spread_sql('scores2', '2')}, q AS (SELECT quantile_cont(s2.spread - s1.spread, 0.5) AS median, quantile_cont(s2.spread - s1.spread, 0.025) AS lo, quantile_cont(s2.spread - s1.spread, 0.975) AS hi FROM s1 JOIN s2 ON s1.b = s2.b) "
+    "SELECT round(median, 6) AS median, round(lo, 6) AS lo, round(hi, 6) AS hi, CASE WHEN lo * hi > 0 THEN 'excludes zero' ELSE 'includes zero' END AS verdict FROM q"
 )
 def paired_spread_bootstrap(spark: Session, d: str) -> DataFrame:
-    """Negatives are drawn once for all generators, positives for each by itself."""
+    """How the generators' spread differs between two runs: negatives are drawn once for all generators and both runs,
+    positives for each generator by itself."""
     its = items(spark, d).withColumn("stratum", F.when(F.col("label") == 0, "real").otherwise(F.col("generator")))
     drawn = bootstrap.draws(its, ["stratum"], PAIRED_REPLICATES)
-    views = metrics.per_generator(scores(spark, d).filter("cell = 'clean'").select("id", "label", "generator", "score"))
-    t = bootstrap.replicate_tpr(views, drawn, ["generator"], 0.05)
-    return rounded(bootstrap.spread(t, ["b"]).agg(*bootstrap.interval("spread")))
+
+    def spreads(run: str, name: str) -> DataFrame:
+        views = metrics.per_generator(scores(spark, d, run).filter("cell = 'clean'").select("id", "label", "generator", "score"))
+        return bootstrap.spread(bootstrap.replicate_tpr(views, drawn, ["generator"], 0.05), ["b"]).select("b", F.col("spread").alias(name))
+
+    q = spreads("a", "first").join(spreads("b", "second"), "b").agg(*bootstrap.interval(F.col("second") - F.col("first")))
+    return rounded(q.withColumn("verdict", bootstrap.excludes_zero(F.col("lo"), F.col("hi"))))
 
 
 @query(f"WITH {SCORES}, {scores_sql('b', 'scores2')}, a AS (SELECT id, label, generator FROM scores WHERE cell = 'clean'), b AS (SELECT id, CASE WHEN \"group\" = 'es' THEN 1 - label ELSE label END AS label, generator FROM scores2 WHERE cell = 'clean' AND score IS NOT NULL) "

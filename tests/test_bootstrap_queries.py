@@ -90,10 +90,16 @@ def test_paired_bootstrap_diff(spark, runs):
 def test_paired_spread_bootstrap(spark, runs):
     its, by, at = runs
     w = weights(list(at), ["real" if r["label"] == 0 else r["generator"] for r in its], 2000)
-    clean = by["a"]["clean", "clean"]
-    each = [tprs([r for r in clean if r["label"] == 0 or r["generator"] == g], w, at) for g in {r["generator"] for r in clean if r["label"] == 1}]
+
+    def spread(run):
+        clean = by[run]["clean", "clean"]
+        each = [tprs([r for r in clean if r["label"] == 0 or r["generator"] == g], w, at) for g in {r["generator"] for r in clean if r["label"] == 1}]
+        return np.nanmax(each, 0) - np.nanmin(each, 0)
+
+    want = interval(spread("b") - spread("a"))
     got = registry.QUERIES["paired_spread_bootstrap"](spark, str(DATA)).first()
-    assert [got["median"], got["lo"], got["hi"]] == pytest.approx(interval(np.nanmax(each, 0) - np.nanmin(each, 0)), abs=2e-6)
+    assert [got["median"], got["lo"], got["hi"]] == pytest.approx(want, abs=2e-6)
+    assert got["verdict"] == ("excludes zero" if want[1] * want[2] > 0 else "includes zero")
 
 
 def test_both_ways_agree(spark, monkeypatch):
