@@ -16,14 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranges import ranked
 from .common import n_words, save, small_enough, unused
 
 #: No document is taken more often.
 MAX_PASSES = 3
 #: Source tables and block tables of at most so many rows are broadcast.
 SMALL_ROWS = 200_000
-#: Hexadecimal digits of a hash that tell its range.
-RANGE = 3
 
 
 def hash31(*parts: Column | str) -> Column:
@@ -63,30 +62,18 @@ def _text(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit("null"))
 
 
-def _ranked(rows: DataFrame, group: list[str], key: str, ties: list[str], weight: Column | None = None) -> DataFrame:
-    """rows with total, the weights of their group, and before, those of the rows before them by key and ties."""
-    w = F.lit(1).cast("bigint") if weight is None else weight
-    rows = rows.withColumn("range", F.substring(key, 1, RANGE)).withColumn("w", w)
-    by = Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    # at most 16 ** RANGE rows a group
-    ranges = rows.groupBy(*group, "range").agg(F.sum("w").alias("in_range")).withColumn("earlier", F.coalesce(F.sum("in_range").over(by), F.lit(0))).withColumn("total", F.sum("in_range").over(Window.partitionBy(*group)))
-    own = Window.partitionBy(*group, "range").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, -1)
-    within = rows.withColumn("within", F.coalesce(F.sum("w").over(own), F.lit(0)))
-    return within.join(ranges.drop("in_range"), [*group, "range"]).withColumn("before", F.col("earlier") + F.col("within")).drop("earlier", "within", "range", "w")
-
-
 def _deal(draws: DataFrame, shards: int, seed: str) -> DataFrame:
     """(ord, block, pass, shard): the tree, one level of all its nodes after the other."""
     ties = ["ord", "block", "pass"]
     node = draws.select(*ties, F.lit(0).alias("lo"), F.lit(shards).alias("hi"))
     for _ in range(max(0, shards - 1).bit_length()):
         key = F.md5(F.concat_ws("|", F.lit(seed), F.col("lo").cast("string"), F.col("hi").cast("string"), *[F.col(c).cast("string") for c in ties]))
-        ranked = _ranked(node.withColumn("key", key), ["lo", "hi"], "key", ties)
+        placed = ranked(node.withColumn("key", key), ["lo", "hi"], "key", ties)
         mid = F.floor((F.col("lo") + F.col("hi")) / 2).cast("int")
         coin = (hash31(F.lit(seed), F.col("lo").cast("string"), F.col("hi").cast("string"), F.lit("coin")) + 0.5) / float(2**31)
         left = F.col("before") < F.floor(F.col("total") * (F.col("mid") - F.col("lo")) / (F.col("hi") - F.col("lo")) + coin)
         leaf = F.col("hi") - F.col("lo") == 1
-        halved = ranked.withColumn("mid", mid).withColumn("left", left)
+        halved = placed.withColumn("mid", mid).withColumn("left", left)
         node = save(halved.select(*ties, F.when(leaf | F.col("left"), F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(leaf | ~F.col("left"), F.col("hi")).otherwise(F.col("mid")).alias("hi")), "mix-tree")
     return node.select(*ties, F.col("lo").alias("shard"))
 
@@ -113,7 +100,7 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], shards: int, seed: str, bl
     # blocks by their keyed order: which of them the broken pass takes whole, and which in part
     per_block = placed.groupBy("ord", "block").agg(F.sum("size").alias("block_size"), F.first("passes").alias("passes"), F.first("rest").alias("rest"))
     per_block = per_block.withColumn("block_key", F.md5(F.concat_ws("|", F.lit(seed), F.lit("block"), F.col("ord").cast("string"), F.col("block").cast("string"))))
-    per_block = _ranked(save(per_block, "mix-blocks"), ["ord"], "block_key", ["block"], F.col("block_size")).withColumn("need", F.col("rest") - F.col("before"))
+    per_block = ranked(save(per_block, "mix-blocks"), ["ord"], "block_key", ["block"], F.col("block_size")).withColumn("need", F.col("rest") - F.col("before"))
     whole, part = (F.col("need") > 0) & (F.col("need") >= F.col("block_size")), (F.col("need") > 0) & (F.col("need") < F.col("block_size"))
     per_block = save(per_block.select("ord", "block", "passes", "need", whole.alias("whole"), part.alias("part")), "mix-needs")
     # draws: (source, pass, block)
