@@ -435,6 +435,29 @@ def test_pipeline_stages_by_brute_force(spark):
         assert own == sorted((k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for k, c in enumerate(cut) for _ in range(got[i]))
 
 
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty and very long texts, repeated rows, two texts under one id, clashing names, and a source
+    with nearly all rows."""
+    import corpus_pipeline as p
+
+    rng = random.Random(2)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(n))
+    rows = [*ODD, *[(100 + i, prose(20 + i), "en", "hot", 0) for i in range(60)], (100, prose(30), "en", "hot", 0), (None, "call 555-123-4567 please", "en", None, None)]
+    docs = frame(spark, rows, CLASHES)
+    texts = {(r[0], r[1]) for r in rows}
+    for name, stage in p.STAGES[:4]:
+        out = stage(spark, docs, DATA)
+        got = out.collect()
+        assert out.columns == docs.columns and {r["doc_id"] for r in got} <= {r[0] for r in rows}, name
+        if name != "PII":
+            assert {(r["doc_id"], r["text"]) for r in got} <= texts
+        if name == "n-gram Jaccard join":
+            assert {(r["doc_id"], r["text"]) for r in got if r["doc_id"] == 100} == {x for x in texts if x[0] == 100} and len(got) == len(texts) - 1  # but for "One TWO"
+        assert all(r[c] == "mine" for r in got[:5] for c in CLASHES if c not in ("shard", "shard_order"))
+    pieces = p.STAGES[4][1](spark, docs, DATA).groupBy("doc_id").count().collect()
+    assert sum(r["count"] for r in pieces) >= len(rows) and any(r["doc_id"] is None for r in pieces)
+
+
 def test_pipeline_runs_on_nothing(spark, tmp_path):
     import corpus_pipeline as p
 
