@@ -318,11 +318,11 @@ def repeated_runs(docs: DataFrame, length: int = 400, passage: int = PASSAGE_BYT
     cut = texts.join(found, ["k1", "k2"]).mapInArrow(_contexts(longest), "f bigint, left binary, right binary, lo int, hi int, k1 bigint, k2 bigint, a int")
     # equal contexts are one; c names them
     cut = cut.withColumn("c", F.unhex(F.md5(F.concat(F.col("left"), F.lit(b"|"), F.col("right"), F.format_string("|%d|%d", "lo", "hi").cast("binary")))))
-    cut = save(cut, "suffix-contexts")
+    cut = save(cut, "suffix-contexts", "zstd")  # contexts of one text overlap, and hardly take more room than it
     uses = cut.select("c", "k1", "k2", "a", "lo", "hi")
     owner = F.when(F.min("k1") == F.max("k1"), F.min("k1")).otherwise(F.lit(0)).alias("owner")
     distinct = cut.groupBy("f", "c").agg(F.count("*").alias("m"), *[F.first(x).alias(x) for x in ("left", "right", "lo", "hi")], owner)
-    distinct = save(distinct, "suffix-distinct")
+    distinct = save(distinct, "suffix-distinct", "zstd")
     sizes = distinct.groupBy("f").agg(F.count("*").alias("n"))
     large = sizes.filter(F.col("n") > LARGE_GROUP).select("f")
     run_type = "array<struct<first:int,last:int>>"
