@@ -37,7 +37,7 @@ class WordEncoder:
 
     _made: ClassVar[dict[str, WordEncoder]] = {}
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 100_000):
         self.lib, self.most, self.known, self.older = library(path), most, {}, {}
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.other, self.split = re.compile(f"[^{''.join(f'\\u{ord(c):04x}' for c in PLAIN)}]"), re.compile(WORD_SPLIT)
@@ -49,6 +49,10 @@ class WordEncoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
+    def forget(self) -> None:
+        """Give up all words; the library stays loaded."""
+        self.known, self.older = {}, {}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 

@@ -7,12 +7,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy, unused
+from .common import hold_batches, tidy, unused
 
 #: First and last code points of scripts; letters elsewhere are of the script "other".
 SCRIPTS = {
@@ -45,12 +44,12 @@ SCRIPT_SHARE = 1e-3
 FLOOR, SWITCH = -6.0, 8.0
 #: Words that a worker keeps scores of.
 KNOWN_WORDS = 100_000
-#: Characters of texts that are labelled at once.
-CHUNK_CHARS = 1_500_000
+#: Texts that are taken from a batch, and characters that are labelled, at once.
+ROWS, CHUNK_CHARS = 500, 1_000_000
 
 #: Words: letters with their combining marks, which scripts of India and Thailand have within words.
 _MARKS = "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0x300, 0x36F), (0x483, 0x489), (0x591, 0x5BD), (0x610, 0x61A), (0x64B, 0x65F), (0x670, 0x670), (0x900, 0x903), (0x93A, 0x94F), (0x951, 0x957), (0x962, 0x963), (0x981, 0x983), (0x9BC, 0x9D7), (0xB82, 0xB82), (0xBBE, 0xBCD), (0xBD7, 0xBD7), (0xE31, 0xE31), (0xE34, 0xE3A), (0xE47, 0xE4E), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20F0), (0x3099, 0x309A)))
-LETTERS = re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
+LETTERS = re.compile(rf"(?:[^\W\d_]+[{_MARKS}]*)+")
 
 
 def script_of(word: str) -> int:
@@ -208,6 +207,7 @@ def label(model: Model, texts: list[str | None], spans: bool = False) -> list[tu
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
     """From (doc_id, text, lang): n-gram counts over a sample of about so many documents of each language, by a
     hash of the id. Workers count and add up; the driver gets one row for each language, of at most BUCKETS counts."""
+    hold_batches(labelled.sparkSession)
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     per = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not per:
@@ -264,21 +264,26 @@ def identify(docs: DataFrame, model: Model, *, spans: bool = False, names: tuple
     it has BUCKETS numbers for each of at most LANGUAGES languages.
     """
     kind = "struct<lang_pred:string,score:double" + (",spans:array<struct<start:int,end:int,lang:string>>" if spans else "") + ">"
+    hold_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(kind)
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    words = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    fields = [("lang_pred", pa.string()), ("score", pa.float64())] + [("spans", words)] * spans
+
+    @F.arrow_udf(kind)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for part in texts:
-            rows = label(model, [x if isinstance(x, str) else None for x in part.tolist()], spans)
-            out = {"lang_pred": [r[0] for r in rows], "score": [r[1] for r in rows]}
+            rows: list[tuple] = []
+            for at in range(0, len(part), ROWS):
+                rows += label(model, part.slice(at, ROWS).to_pylist(), spans)
+            out = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())]
             if spans:
-                out["spans"] = [[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows]
-            yield pd.DataFrame(out)
+                out.append(pa.array([[{"start": a, "end": b, "lang": x} for a, b, x in r[2]] for r in rows], words))
+            yield pa.StructArray.from_arrays(out, [n for n, _ in fields])
         model.index, model.rows = {}, model.rows[:0]
         tidy()
 
     (found,) = unused(docs, "found")
     made = docs.withColumn(found, run("text"))
-    fields = ["lang_pred", "score"] + ["spans"] * spans
-    return made.withColumns({n: F.col(found)[f] for n, f in zip(names, fields)}).drop(found)
+    return made.withColumns({n: F.col(found)[f] for n, (f, _) in zip(names, fields)}).drop(found)

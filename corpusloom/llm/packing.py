@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import save
+from .common import save, tidy
 from .encode import WordEncoder
 
 #: Pieces of one length are numbered in shards of about so many rows, whatever they are.
@@ -122,6 +122,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_i
                     del out["ids"]
                 yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("doc_id", part.column("doc_id").type), *fields]))
 
+        encoder.forget()
+        tidy()
+
     fields = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
     fields += [("ids", pa.list_(pa.int32()))] * with_ids
     ddl = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
