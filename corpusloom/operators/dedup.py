@@ -80,12 +80,16 @@ def _agree() -> Column:
 
 
 def near_pairs(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b, distance), a < b, of different hashes within the threshold."""
+    """(a, b, distance), a < b, of different hashes within the threshold.
+
+    Spark sizes the keyed rows by the written hashes, as if each had one key: without the hint it takes them to the driver
+    to broadcast.
+    """
     distinct = save(distinct.select("id", "hi", "lo"), "dedup-hashes")
     n = distinct.count()
     rows = _keyed(distinct, ["id"], scheme(n, n, threshold))
     a, b = rows.alias("a"), rows.alias("b")
-    near = a.join(b, _agree() & (F.col("a.id") < F.col("b.id")) & (hamming("a", "b") <= threshold))
+    near = a.join(b.hint("merge"), _agree() & (F.col("a.id") < F.col("b.id")) & (hamming("a", "b") <= threshold))
     return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming("a", "b").cast("int").alias("distance")).distinct()
 
 

@@ -48,6 +48,16 @@ def test_banded_pairs_equal_brute_force(spark):
     assert far == {tuple(r) for r in dedup.near_pairs_brute(d, 8).collect()} and far >= got
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keyed_hashes_stay_off_the_driver(spark):
+    """A few hashes are small enough to broadcast by their files; what their keys make of them is not."""
+    d = spark.createDataFrame([(i, i, i) for i in range(100)], "id long, hi long, lo long")
+    assert "Broadcast" not in plan(dedup.near_pairs(d))
+
+
 def test_components_close_over_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)]
     random.Random(1).shuffle(links)
