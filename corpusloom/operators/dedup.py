@@ -130,6 +130,6 @@ def pair_classes(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """(within, across, examples): pairs (a, b, distance) by whether classes (id, klass) tell them alike, and the five
     nearest of those across, as text."""
     of = lambda c: classes.select(F.col("id").alias(c), F.col("klass").alias(f"k{c}"))
-    told = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("alike", F.col("ka") == F.col("kb"))
+    told = save(pairs.join(of("a"), "a").join(of("b"), "b").withColumn("alike", F.col("ka") == F.col("kb")), "dedup-told")  # read twice
     nearest = told.filter("NOT alike").orderBy("distance", "a", "b").limit(5).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("distance").cast("string"), F.col("a").cast("string"), F.col("b").cast("string")))), "; ").alias("examples"))
     return told.agg(F.count_if("alike").alias("within"), F.count_if(~F.col("alike")).alias("across")).join(nearest)

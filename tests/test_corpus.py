@@ -16,7 +16,6 @@ from corpusloom.operators.storage import save
 from corpusloom.sources import catalog, png, readers
 from corpusloom.streaming.ingest import ingest_stream, windowed_counts
 
-
 def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -61,6 +60,13 @@ def test_keyed_hashes_stay_off_the_driver(spark):
     assert "Broadcast" not in plan(dedup.near_pairs(d))
 
 
+def test_pairs_are_made_once_for_their_classes(spark):
+    d = spark.createDataFrame([(i, 0, 1 << i) for i in range(5)], "id long, hi long, lo long")
+    told = dedup.pair_classes(dedup.near_pairs(d), d.select("id", (F.col("id") % 2).alias("klass")))
+    assert "mask" not in plan(told)
+    assert tuple(told.first()) == (4, 6, "2 0 1; 2 0 3; 2 1 2; 2 1 4; 2 2 3")
+
+
 def test_components_close_over_chains(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 102), (101, 102)]
     random.Random(1).shuffle(links)
