@@ -13,9 +13,13 @@ from corpusloom.functions import hashing, rasters, sql
 from corpusloom.operators import audit, dedup, images, ingest, metrics, scoring, splits
 from corpusloom.operators.components import components
 from corpusloom.operators.storage import save
+from corpusloom.plans import registry
 from corpusloom.sources import catalog, png, readers
 from corpusloom.streaming.ingest import ingest_stream, windowed_counts
 
+DATA = Path("/root/testdata/sf0.001")
+
+
 def signed(x):
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -60,6 +64,15 @@ def test_keyed_hashes_stay_off_the_driver(spark):
     assert "Broadcast" not in plan(dedup.near_pairs(d))
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+@pytest.mark.parametrize("name", ["dup_components"])
+def test_queries_on_clusters_keep_keys_off_the_driver(spark, monkeypatch, name):
+    plans = []
+    monkeypatch.setattr(dedup, "components", lambda links: plans.append(plan(links)) or components(links))
+    assert registry.QUERIES[name](spark, str(DATA)).count()
+    assert plans and "Broadcast" not in "".join(plans)
+
+
 def test_pairs_are_made_once_for_their_classes(spark):
     d = spark.createDataFrame([(i, 0, 1 << i) for i in range(5)], "id long, hi long, lo long")
     told = dedup.pair_classes(dedup.near_pairs(d), d.select("id", (F.col("id") % 2).alias("klass")))
