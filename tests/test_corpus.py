@@ -65,7 +65,7 @@ def test_keyed_hashes_stay_off_the_driver(spark):
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["dup_components", "split_assignment", "split_violations"])
+@pytest.mark.parametrize("name", ["dup_components", "split_assignment", "split_contingency", "split_violations"])
 def test_queries_on_clusters_keep_keys_off_the_driver(spark, monkeypatch, name):
     plans = []
     monkeypatch.setattr(dedup, "components", lambda links: plans.append(plan(links)) or components(links))
