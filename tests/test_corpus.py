@@ -64,6 +64,11 @@ def test_keyed_hashes_stay_off_the_driver(spark):
     assert "Broadcast" not in plan(dedup.near_pairs(d))
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_distances_keep_keys_off_the_driver(spark):
+    assert "Broadcast" not in plan(registry.QUERIES["near_dup_distances"](spark, str(DATA)))
+
+
 @pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", ["dup_components", "split_assignment", "split_contingency", "split_violations"])
 def test_queries_on_clusters_keep_keys_off_the_driver(spark, monkeypatch, name):
