@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import save
+from .storage import bounded, save
 
 THRESHOLD = 6
 #: Bits of a counter of words; three counters share a number of 64 bits.
@@ -103,9 +103,10 @@ def clusters(hashes: DataFrame, key: str, threshold: int = THRESHOLD) -> DataFra
     """(key, cluster): rows whose hashes a chain of near pairs joins; a cluster is named by its smallest key."""
     hashes = save(hashes, "dedup-hashes")
     distinct = save(distinct_hashes(hashes, key), "dedup-distinct")
+    n = distinct.count()
     found = components(near_pairs(distinct, threshold).select("a", "b")).withColumnRenamed("id", "_id")
-    named = distinct.join(found, distinct["id"] == found["_id"], "left").select("hi", "lo", F.coalesce("component", "id").alias("cluster"))
-    return hashes.join(named, ["hi", "lo"]).select(key, "cluster")
+    named = distinct.join(bounded(found, n), distinct["id"] == found["_id"], "left").select("hi", "lo", F.coalesce("component", "id").alias("cluster"))
+    return hashes.join(bounded(named, n), ["hi", "lo"]).select(key, "cluster")
 
 
 def collisions(rows: DataFrame, h: str) -> DataFrame:

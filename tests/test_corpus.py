@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import hashing, rasters, sql
-from corpusloom.operators import audit, dedup, images, ingest, metrics, scoring, splits
+from corpusloom.operators import audit, dedup, images, ingest, metrics, scoring, splits, storage
 from corpusloom.operators.components import components
 from corpusloom.operators.storage import save
 from corpusloom.plans import registry
@@ -78,6 +78,16 @@ def test_queries_on_clusters_keep_keys_off_the_driver(spark, monkeypatch, name):
     assert plans and "Broadcast" not in "".join(plans)
 
 
+def test_named_hashes_are_broadcast_by_their_number(spark, monkeypatch):
+    """Hashes in small files were broadcast, however many rows they hold."""
+    d = spark.createDataFrame([(i, i, i // 2) for i in range(100)], "id long, hi long, lo long")
+    few = dedup.clusters(d, "id")
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 99, raising=False)
+    many = dedup.clusters(d, "id")
+    assert "Broadcast" not in plan(many)
+    assert sorted(many.collect()) == sorted(few.collect())
+
+
 def test_pairs_are_made_once_for_their_classes(spark):
     d = spark.createDataFrame([(i, 0, 1 << i) for i in range(5)], "id long, hi long, lo long")
     told = dedup.pair_classes(dedup.near_pairs(d), d.select("id", (F.col("id") % 2).alias("klass")))
