@@ -58,6 +58,7 @@ def contingency(rows: DataFrame, by: str) -> DataFrame:
 
 def violations(rows: DataFrame, key: str) -> DataFrame:
     """(rule, n): breaches of what a split promises."""
+    rows = save(rows.select(key, "cluster", "label", "split"), "split-rows")  # read five times
     keys = rows.groupBy(key).agg(F.count_distinct("split").alias("s"), F.count("*").alias("n"))
     straddling = rows.groupBy("cluster").agg(F.count_distinct("split").alias("s"))
     parts = [

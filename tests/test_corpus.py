@@ -88,6 +88,13 @@ def test_named_hashes_are_broadcast_by_their_number(spark, monkeypatch):
     assert sorted(many.collect()) == sorted(few.collect())
 
 
+def test_violations_make_the_split_once(spark):
+    rows = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("id div 2").alias("cluster"), (F.col("id") % 2).alias("label"), F.lit("train").alias("split"))
+    told = splits.violations(rows, "doc_id")
+    assert "Range" not in plan(told)
+    assert {tuple(r) for r in told.collect()} == {("row in several splits", 0), ("cluster straddles splits", 0), ("row without a split", 0), ("empty splits", 2), ("labels out of balance", 0)}
+
+
 def test_pairs_are_made_once_for_their_classes(spark):
     d = spark.createDataFrame([(i, 0, 1 << i) for i in range(5)], "id long, hi long, lo long")
     told = dedup.pair_classes(dedup.near_pairs(d), d.select("id", (F.col("id") % 2).alias("klass")))
