@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import audit, dedup, ingest, metrics, scoring, splits
+from ..operators.storage import bounded
 from ..sources import catalog
 from .metric_queries import rounded
 from .registry import query
@@ -247,10 +248,14 @@ s AS (SELECT cluster, CASE WHEN rn <= q0 THEN 'train' WHEN rn <= q0 + q1 THEN 'v
 split AS (SELECT c.doc_id, c.label, c.generator, c.cluster, CASE WHEN h THEN 'test' WHEN x AND s = 'train' THEN 'test' ELSE s END AS split FROM corpus c LEFT JOIN s ON s.cluster = c.cluster)"""
 
 
+def labelled(spark: Session, d: str) -> DataFrame:
+    lab = table(spark, d, "labels")
+    return bounded(lab, lab.count()).join(docs(spark, d).select("doc_id", "source"), "doc_id")
+
+
 def split_rows(spark: Session, d: str, strict: bool = False) -> DataFrame:
     """Labelled documents; toxic ones are the forbidden ones, two sources the held-out generators."""
-    lab = table(spark, d, "labels")
-    rows = lab.join(docs(spark, d).select("doc_id", "source"), "doc_id").join(clusters(spark, d), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("source").alias("generator"), "cluster", "toxic")
+    rows = labelled(spark, d).join(clusters(spark, d), "doc_id").select("doc_id", F.col("quality").alias("label"), F.col("source").alias("generator"), "cluster", "toxic")
     return splits.assign(rows, key="doc_id", holdout=F.col("generator").isin(HOLDOUT), blocked=F.col("toxic") == 1, strict=strict).drop("toxic")
 
 

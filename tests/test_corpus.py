@@ -88,6 +88,16 @@ def test_named_hashes_are_broadcast_by_their_number(spark, monkeypatch):
     assert sorted(many.collect()) == sorted(few.collect())
 
 
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_labels_are_broadcast_by_their_number(spark, monkeypatch):
+    few = registry.corpus_queries.split_rows(spark, str(DATA))
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 9, raising=False)
+    many = registry.corpus_queries.split_rows(spark, str(DATA))
+    labels = [x for x in plan(many).split("BroadcastExchange")[1:] if "labels.parquet" in x.split("Join")[0]]
+    assert not labels
+    assert sorted(many.collect()) == sorted(few.collect())
+
+
 def test_violations_make_the_split_once(spark):
     rows = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("id div 2").alias("cluster"), (F.col("id") % 2).alias("label"), F.lit("train").alias("split"))
     told = splits.violations(rows, "doc_id")
