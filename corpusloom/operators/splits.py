@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.hashing import hash_key
 from .ranges import ranked
-from .storage import save
+from .storage import bounded, save
 
 SPLITS, SHARES = ("train", "val", "test"), (0.70, 0.15, 0.15)
 
@@ -40,10 +40,12 @@ def assign(rows: DataFrame, *, key: str, holdout: Column, blocked: Column, seed:
     pool = flagged.filter(~F.col("_h"))
     clusters = pool.groupBy("cluster").agg(F.min_by("label", key).alias("_label"), F.mode("generator", True).alias("_gen"))
     clusters = clusters.withColumn("_key", hash_key(seed, F.col("cluster")))
-    dealt = ranked(save(clusters, "split-clusters"), ["_label", "_gen"], "_key", ["cluster"])
+    clusters = save(clusters, "split-clusters")
+    n = clusters.count()
+    dealt = ranked(clusters, ["_label", "_gen"], "_key", ["cluster"], most=n)
     q = quotas(F.col("total"))
     dealt = dealt.select("cluster", F.when(F.col("before") < q[0], "train").when(F.col("before") < q[0] + q[1], "val").otherwise("test").alias("_s"))
-    placed = flagged.join(dealt, "cluster", "left")
+    placed = flagged.join(bounded(dealt, n), "cluster", "left")
     split = F.when(F.col("_h"), "test").when(F.col("_x") & (F.col("_s") == "train"), "test").otherwise(F.col("_s"))
     if strict:
         split = F.when(F.col("_h") | (F.col("_x") & (F.col("_s") == "train")), "test").otherwise(F.col("_s"))

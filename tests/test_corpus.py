@@ -98,6 +98,18 @@ def test_labels_are_broadcast_by_their_number(spark, monkeypatch):
     assert sorted(many.collect()) == sorted(few.collect())
 
 
+def test_dealt_clusters_are_broadcast_by_their_number(spark, monkeypatch):
+    """Spark took every cluster's split, and the sums of their ranges, to the driver by what a shuffle held compressed."""
+    rows = spark.range(60).select(F.col("id").alias("doc_id"), F.expr("id div 2").alias("cluster"), (F.col("id") % 3).alias("label"), F.concat(F.lit("g"), F.col("id") % 4).alias("generator"), (F.col("id") % 7 == 0).alias("toxic"))
+    told = lambda: splits.assign(rows, key="doc_id", holdout=F.col("generator") == "g3", blocked=F.col("toxic"))
+    few = told()
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 29)  # of 30 clusters
+    many = told()
+    assert "Broadcast" in plan(few) and "Broadcast" not in plan(many)
+    assert sorted(many.collect()) == sorted(few.collect()) and many.count() == 60
+    assert sorted(splits.contingency(many, "generator").collect()) == sorted(splits.contingency(few, "generator").collect())
+
+
 def test_violations_make_the_split_once(spark):
     rows = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("id div 2").alias("cluster"), (F.col("id") % 2).alias("label"), F.lit("train").alias("split"))
     told = splits.violations(rows, "doc_id")
